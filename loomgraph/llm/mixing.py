@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 #: Words in a slot: what a source's taken words may be off its target by is a few of these.
 BLOCK = 64
 #: Weights by the source's place, repeating; the mix's size against the input's; the most times that a document is read.
@@ -111,7 +113,7 @@ def takes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Slots of rank r take block r mod b, so the n slots of a source read its blocks n div b times, and its first n mod b
     blocks once more: a document's part of those follows from where it starts, without a row per slot and document.
     """
-    docs = sized(docs)
+    docs = cut(sized(docs))  # the texts are read once
     sources = targets(docs)
     slots = schedule(sources, block).groupBy("place").agg(F.count(F.lit(1)).alias("slots"))
     sources = sources.join(slots, "place", "left").select(
