@@ -150,7 +150,8 @@ def resolve(records: DataFrame) -> DataFrame:
     """Records with each revisit's digest and length held against its response's; a revisit without one fails the job."""
     responses = records.where("record_type = 'response'").select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"), F.col("payload_bytes").alias("r_bytes")).dropDuplicates()
     revisits = records.where("record_type = 'revisit'").drop("payload")
-    joined = revisits.join(responses, (F.col("refers_to") == F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest")), "left")
+    # Spark takes the archives for as small as their manifest, and would broadcast them
+    joined = revisits.join(responses.hint("merge"), (F.col("refers_to") == F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest")), "left")
     whole = joined.select("page_id", "url", "record_type", "payload_digest", F.coalesce("r_bytes", F.raise_error(F.lit("a revisit refers to no response"))).cast("long").alias("payload_bytes"), "refers_to")
     return records.where("record_type = 'response'").drop("payload").select(*whole.columns).unionByName(whole)
 
