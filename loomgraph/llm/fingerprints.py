@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import packed, partitions_for, steps
@@ -116,6 +116,17 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
+def _labels(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that hash partitioning sends to n different tasks."""
+    found: dict[int, int] = {}
+    size = 16 * n
+    while len(found) < n:
+        ids = spark.range(size).select(F.col("id").cast("int").alias("id"))
+        found = {slot: label for label, slot in ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("slot")).agg(F.min("id").alias("id")).select("id", "slot").collect()}
+        size *= 4
+    return [found[slot] for slot in range(n)]
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every whole text and of its edited text (its last half replaced by the start of the next document).
 
@@ -128,23 +139,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     low = F.coalesce("doc_id", F.lit(-(1 << 63)))
     bounds = docs.agg(F.percentile_approx(low, [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     bounds = sorted(set(bounds)) if parts > 1 else []
-    # the part is the number of bounds at or below the id: a binary search, as nested WHENs of logarithmic depth
-    def search(a: int, b: int) -> F.Column:
+    labels = _labels(docs.sparkSession, len(bounds) + 1)
+
+    # the part is the number of bounds below the id: a binary search, as nested WHENs of logarithmic depth
+    def search(a: int, b: int) -> Column:
         if a == b:
-            return F.lit(a)
+            return F.lit(labels[a])
         m = (a + b) // 2
         return F.when(low <= F.lit(bounds[m]), search(a, m)).otherwise(search(m + 1, b))
 
     placed = docs.select(search(0, len(bounds)).alias("part"), F.lit(False).alias("only_next"), "doc_id", "text")
-    firsts = sorted((r[0], r[1]) for r in placed.groupBy("part").agg(F.min(low)).collect())
+    firsts = sorted((r[1], r[0]) for r in placed.groupBy("part").agg(F.min(low)).collect())
     if not firsts:
         return placed.limit(0).mapInArrow(_run, OUT)
-    # part -> the part that its first document follows up on; the first part's goes to the last, to close the ring
-    before = {first: (part, firsts[k - 1][0]) for k, (part, first) in enumerate(firsts)}
-    where = F.create_map(*(F.lit(x) for first, (_, to) in before.items() for x in (first, to)))
-    first_rows = placed.where(low.isin(list(before)))
+    # a part's first document follows up on the part before; the first part's on the last, to close the ring
+    where = F.create_map(*(F.lit(x) for k, (first, _) in enumerate(firsts) for x in (first, firsts[k - 1][1])))
+    first_rows = placed.where(low.isin([first for first, _ in firsts]))
     # of rows that share a first doc_id only the first by text follows
     first_rows = first_rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    copies = first_rows.select(where[low].cast("int").alias("part"), F.lit(True).alias("only_next"), "doc_id", "text")
-    both = placed.select(F.col("part").cast("int").alias("part"), "only_next", "doc_id", "text").unionByName(copies)
-    return both.repartition(len(firsts), "part").sortWithinPartitions("part", "only_next", "doc_id", F.coalesce("text", F.lit(""))).mapInArrow(_run, OUT)
+    both = placed.unionByName(first_rows.select(where[low].alias("part"), F.lit(True).alias("only_next"), "doc_id", "text"))
+    return both.repartition(len(labels), "part").sortWithinPartitions("part", "only_next", "doc_id", F.coalesce("text", F.lit(""))).mapInArrow(_run, OUT)
