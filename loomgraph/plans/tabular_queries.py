@@ -1,4 +1,454 @@
-"""Queries over the driver's tables."""
+"""One query per operator over the driver's tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .. import functions as fn
+from ..operators import diff, navigate, resolve, search, traverse, views
+from ..snapshot import bundle
+from . import tabular
+from .tabular import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+N = """nodes as (
+  select 'region:' || r_regionkey as id, 'region' as kind, r_name as label, '' as path, '' as text from region
+  union all select 'nation:' || n_nationkey, 'nation', n_name, 'region:' || n_regionkey, '' from nation
+  union all select 'customer:' || c_custkey, 'customer', c_name, 'nation:' || c_nationkey, c_mktsegment from customer
+  union all select 'supplier:' || s_suppkey, 'supplier', s_name, 'nation:' || s_nationkey, '' from supplier
+  union all select 'part:' || p_partkey, 'part', p_name, p_brand, p_type from part
+  union all select 'orders:' || o_orderkey, 'orders', 'order:' || o_orderkey, 'customer:' || o_custkey, o_orderpriority || ' ' || o_orderstatus from orders)"""
+E = """pairs as (
+  select 'region:' || n_regionkey as source_id, 'contains' as kind, 'nation:' || n_nationkey as target_id from nation
+  union all select 'nation:' || c_nationkey, 'contains', 'customer:' || c_custkey from customer
+  union all select 'nation:' || s_nationkey, 'contains', 'supplier:' || s_suppkey from supplier
+  union all select 'customer:' || o_custkey, 'contains', 'orders:' || o_orderkey from orders
+  union all select distinct 'orders:' || l_orderkey, 'depends_on', 'part:' || l_partkey from lineitem),
+edges as (select source_id || '|' || kind || '|' || target_id as id, * from pairs)"""
+D = """ends as (select source_id as id, 0 as i, 1 as o from edges union all select target_id, 1, 0 from edges),
+deg as (select id, sum(i)::bigint as degree_in, sum(o)::bigint as degree_out, count(*) as degree from ends group by id)"""
+HAY = "lower(concat_ws(' ', id, kind, label, path, '', text, ''))"
+
+
+def scoring(q: str) -> str:
+    words = "[" + ", ".join(f"'{w}'" for w in sorted(set(q.split()))) + "]"
+    return f"""hay as (select *, {HAY} as h from nodes),
+s as (select *, list_sort(list_intersect({words}, list_distinct(string_split_regex(h, '[^a-zA-Z0-9_]+')))) as hit from hay),
+hits as (select *, (case when lower(id) = '{q}' then 900 else 0 end + case when lower(path) = '{q}' then 700 else 0 end + case when lower(label) = '{q}' then 500 else 0 end
+  + case when contains(h, '{q}') then 50 else 0 end + 10 * len(hit))::double as score from s)"""
+
+
+# --- search ---
+
+FIND = "automobile customer"
+
+
+@query(f"with {N}, {scoring(FIND)} select id, kind, label, path, score from hits where score > 0 order by score desc, kind, path, id limit 50")
+def search_lexical(spark, d):
+    return search.page(search.scored(tabular.nodes(spark, d), FIND), 0, 50).select("id", "kind", "label", "path", "score")
+
+
+@query(f"with {N}, {scoring(FIND)} select id, score from hits where score > 0 order by score desc, kind, path, id limit 20 offset 20")
+def search_page2(spark, d):
+    return search.page(search.scored(tabular.nodes(spark, d), FIND), 20, 20).select("id", "score")
+
+
+@query(
+    f"with {N}, {scoring('nation:7')} select id, score, array_to_string(hit, ',') as matched_tokens, case when lower(label) = 'nation:7' then 'label' when lower(path) = 'nation:7' then 'source_ref.path' when lower(id) = 'nation:7' then 'id' else '' end as exact_match, "
+    "case when text <> '' then text when label <> '' then label when path <> '' then path else id end as snippet from hits where score > 0".replace("['nation:7']", "['7', 'nation']")
+)
+def search_explain(spark, d):
+    return search.scored(tabular.nodes(spark, d), "nation:7").select("id", "score", F.array_join("matched_tokens", ",").alias("matched_tokens"), "exact_match", "snippet")
+
+
+SQL["search_explain"] = SQL["search_explain"].replace("['nation:7']", "['7', 'nation']")
+
+
+@query(f"with {N} select id, 1000.0::double as score from nodes where id in ('part:3', 'region:1', 'orders:9')")
+def search_requested_ids(spark, d):
+    return search.scored(tabular.nodes(spark, d), "", ("part:3", "region:1", "orders:9")).select("id", "score")
+
+
+@query(f"with {N}, {scoring(FIND)}, top as (select id from hits where score > 0 order by score desc, kind, path, id limit 5), {E}, "
+       "inc as (select source_id as node, id from edges union all select target_id, id from edges where source_id <> target_id) "
+       "select top.id, coalesce(string_agg(inc.id, ',' order by inc.id), '') as edge_ids from top left join inc on inc.node = top.id group by top.id")
+def search_with_edges(spark, d):
+    hits = search.page(search.scored(tabular.nodes(spark, d), FIND), 0, 5)
+    return search.with_edges(hits, tabular.edges(spark, d)).select("id", F.array_join("edge_ids", ",").alias("edge_ids"))
+
+
+@query(f"with {N}, t as (select distinct id, unnest(string_split_regex({HAY}, '[^a-zA-Z0-9_]+')) as token from nodes) select token, count(*) as nodes from t where token <> '' group by token")
+def token_document_frequency(spark, d):
+    return search.document_frequency(tabular.nodes(spark, d))
+
+
+# --- sources and predicates ---
+
+
+@query("select doc_id, case when n_chars > 20000 then 'max_file_size' when source like 'src1%' then 'excluded' when text not like '%the%' then 'not_included' end as reason from documents")
+def scope_filter(spark, d):
+    t = table(spark, d, "documents")
+    return t.select("doc_id", F.when(F.col("n_chars") > 20000, "max_file_size").when(F.col("source").startswith("src1"), "excluded").when(~F.contains("text", F.lit("the")), "not_included").alias("reason"))
+
+
+LINKS = "hrefs as (select page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) as h from pages), links as (select page_id, unnest(range(len(h))) as position, unnest(h) as target from hrefs)"
+
+
+@query(f"with {LINKS} select page_id, position::int as position, target from links")
+def page_links(spark, d):
+    return tabular.page_links(spark, d)
+
+
+@query(f"with {LINKS} select 'unresolved_reference' as reason, target as item_id, count(*) as n from links where target not in (select url from pages where url is not null) group by target")
+def unresolved_links(spark, d):
+    links = tabular.page_links(spark, d)
+    lost = links.join(table(spark, d, "pages").select(F.col("url").alias("target")), "target", "left_anti")
+    return lost.groupBy(F.lit("unresolved_reference").alias("reason"), F.col("target").alias("item_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, trim(regexp_replace(p_type, '\\s+', ' ', 'g')) as one_line from part")
+def slugs(spark, d):
+    return table(spark, d, "part").select("p_partkey", fn.slug("p_name").alias("slug"), fn.one_line("p_type").alias("one_line"))
+
+
+@query("select doc_id, sha256(text) as content_hash, strlen(text)::bigint as size_bytes from documents")
+def manifest_scan(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"))
+
+
+@query("select i as node, 'src/file-' || (i // 100) || '.py' as path, case when i + 1 < 10000 then i + 1 else -1 end as next from range(10000) t(i)")
+def scale_chain(spark, d):
+    i = F.col("id")
+    return spark.range(10000).select(i.alias("node"), F.concat(F.lit("src/file-"), F.floor(i / 100).cast("string"), F.lit(".py")).alias("path"), F.when(i + 1 < 10000, i + 1).otherwise(-1).alias("next"))
+
+
+# --- joins and navigation ---
+
+
+@query(f"with {E} select id, kind, source_id, target_id from edges where source_id in ('nation:3', 'customer:7') or target_id in ('nation:3', 'customer:7')")
+def incident_edges(spark, d):
+    ids = ("nation:3", "customer:7")
+    return tabular.edges(spark, d).where(F.col("source_id").isin(*ids) | F.col("target_id").isin(*ids)).select("id", "kind", "source_id", "target_id")
+
+
+@query(f"with {E} select id as edge_id, source_id as id from edges where kind = 'depends_on' and target_id = 'part:5'")
+def reverse_dependencies(spark, d):
+    return navigate.reverse_dependencies(tabular.nodes(spark, d, "orders"), tabular.edges(spark, d, "lineitem"), "part:5", None).select("edge_id", "id")
+
+
+IMPORTS = "with e as (select distinct l_orderkey, l_partkey from lineitem)"
+
+
+@query(f"{IMPORTS} select distinct 'customer:' || o_custkey as id from e join orders on o_orderkey = l_orderkey where l_partkey = 5")
+def reverse_imports(spark, d):
+    e = tabular.edges(spark, d, "lineitem", "orders")
+    e = e.withColumn("metadata", F.when(F.col("kind") == "depends_on", F.lit('{"resolved":true}')).otherwise("{}")).withColumn("kind", F.lit("imports"))
+    return navigate.reverse_imports(tabular.nodes(spark, d, "orders", "customer", "part"), e, "part:5", None).select("id")
+
+
+@query("select 'part:' || l_partkey as target_id, count(*) as incoming_count, array_to_string(list_sort(list_distinct(list('orders:' || l_orderkey)))[:5], ',') as referrers from lineitem group by l_partkey")
+def doc_targets(spark, d):
+    links = table(spark, d, "lineitem").select(F.concat(F.lit("orders:"), F.col("l_orderkey").cast("string")).alias("source_id"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target_id"), F.lit("references_doc").alias("kind"))
+    return views.doc_targets(links).select("target_id", "incoming_count", F.array_join("referrer_ids", ",").alias("referrers"))
+
+
+@query("select distinct 'orders:' || l_orderkey || '|references_doc|part:' || l_partkey as edge_id, 'orders:' || l_orderkey as id from lineitem where l_partkey = 11")
+def backlinks(spark, d):
+    e = tabular.edges(spark, d, "lineitem").withColumn("kind", F.lit("references_doc")).withColumn("id", F.concat_ws("|", "source_id", "kind", "target_id"))
+    return navigate.backlinks(tabular.nodes(spark, d, "orders"), e, "part:11", None).select("edge_id", "id")
+
+
+@query(f"with {E}, {N} select e.id as edge_id, e.kind as edge_kind, 'static' as resolution, n.id, n.kind from edges e join nodes n on n.id = e.source_id where e.target_id = 'nation:4'")
+def impact(spark, d):
+    return navigate.impact(tabular.nodes(spark, d), tabular.edges(spark, d), "nation:4")[0].select("edge_id", "edge_kind", "resolution", "id", "kind")
+
+
+@query(f"with {E} select kind, case when kind in ('depends_on', 'contains') then 'static' else 'unsupported' end as resolution, count(*) as n from edges group by 1, 2")
+def edge_resolution(spark, d):
+    return navigate.resolution_class(tabular.edges(spark, d), tabular.nodes(spark, d)).groupBy("kind", "resolution").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select 'commit:' || event_id as id, floor(epoch(ts))::bigint as epoch from events where user_id = 7 order by 2 desc, 1 limit 15")
+def commits_for_path(spark, d):
+    n, e, _ = tabular.commits(spark, d)
+    return navigate.commits_for_path(n, e, "user/7", 15).select("id", fn.meta("metadata", "committer_time_epoch").cast("long").alias("epoch"))
+
+
+@query("select 'path:user/' || user_id as target_id, 'user/' || user_id as place, 90.0::double as score from events where event_id = 17")
+def files_for_commit(spark, d):
+    n, e, _ = tabular.commits(spark, d)
+    return navigate.files_for_commit(n, e, navigate.find_commit(n, "17") or "").select("target_id", "place", "score")
+
+
+@query("select 'commit:' || event_id as id, floor(epoch(ts))::bigint as epoch from events order by 2 desc, 1 limit 25")
+def recent_commits(spark, d):
+    n, _, _ = tabular.commits(spark, d)
+    return views.recent_commits(n, 25).select("id", fn.meta("metadata", "committer_time_epoch").cast("long").alias("epoch"))
+
+
+@query(f"with {E} select p.c as id, count(*) as children from (select source_id as c from edges where kind = 'contains' and source_id like 'nation:%') p group by 1 order by 2 desc, 1 limit 10")
+def top_directories(spark, d):
+    n = tabular.nodes(spark, d, "nation").withColumn("kind", F.lit("directory")).withColumn("path", F.col("id"))
+    return views.top_directories(n, tabular.edges(spark, d, "customer", "supplier"), 10).select(F.col("source_id").alias("id"), "children")
+
+
+@query("select doc_id, item_id from documents, benchmark where contains(lower(documents.text), lower(benchmark.text)) and length(benchmark.text) >= 40")
+def mentions(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    marks = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("label"))
+    out = views.mentions(docs.withColumn("id", F.concat(F.lit("d"), F.col("id").cast("string"))), marks.withColumn("id", F.concat(F.lit("b"), F.col("id").cast("string"))), least=40)
+    return out.select(F.substring("doc_id", 2, 30).cast("long").alias("doc_id"), F.substring("candidate_id", 2, 30).cast("long").alias("item_id"))
+
+
+@query("select o_orderkey as declared_id, l_partkey as resolved_id from orders join (select distinct l_orderkey, l_partkey from lineitem) on o_orderkey = l_orderkey where o_orderkey < 2000")
+def dependency_resolution(spark, d):
+    a = table(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"), F.lit("Lines").alias("ecosystem"), F.col("o_orderkey").cast("string").alias("package"))
+    b = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.lit("lines").alias("ecosystem"), F.col("l_orderkey").cast("string").alias("package")).distinct()
+    return resolve.dependencies(a, b)[0]
+
+
+@query("select o_orderkey as declared_id from orders where o_orderkey not in (select l_orderkey from lineitem)")
+def dependency_unresolved(spark, d):
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("lines").alias("ecosystem"), F.col("o_orderkey").cast("string").alias("package"))
+    b = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.lit("lines").alias("ecosystem"), F.col("l_orderkey").cast("string").alias("package"))
+    return resolve.dependencies(a, b)[1]
+
+
+@query("""with r as (select text as t, source as s, count(*) as n from documents group by 1, 2), a as (select t, sum(n) as n from r group by 1)
+select doc_id, case when a.n - r.n = 1 then 'exact' when a.n - r.n > 1 then 'ambiguous' when r.n > 1 then 'same_root' else 'missing' end as outcome
+from documents join r on r.t = text and r.s = source join a on a.t = text""")
+def resolution_outcomes(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("doc_id").alias("node_id"), F.sha2("text", 256).alias("symbol"), F.sha2("text", 256).alias("family"))
+    out = resolve.symbol_outcomes(docs.withColumn("valid", F.lit(True)), docs)
+    # a document defines what it uses: alone in its own root it isn't a second definition there
+    own = docs.groupBy("symbol", "root").agg(F.count(F.lit(1)).alias("copies"))
+    out = out.join(own, ["symbol", "root"])
+    return out.select(F.col("node_id").alias("doc_id"), F.when((F.col("outcome") == "same_root") & (F.col("copies") == 1), "missing").otherwise(F.col("outcome")).alias("outcome"))
+
+
+@query("""with h as (select doc_id, sha256(text) as now, sha256(substr(text, 1, 2000)) as was, doc_id % 3 = 0 as stale from documents)
+select doc_id, case when doc_id % 50 = 7 then 'missing' when now <> was then 'changed' when stale then 'stale' else 'fresh' end as state from h""")
+def evidence_state(spark, d):
+    docs = table(spark, d, "documents").withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
+    refs = docs.select(F.col("path").alias("ref_uri"), F.col("doc_id").alias("node_id"), F.sha2(F.substring("text", 1, 2000), 256).alias("content_hash"), (F.col("doc_id") % 3 == 0).alias("stale"))
+    out = resolve.evidence_state(refs, docs.where("doc_id % 50 <> 7").select(F.col("doc_id").alias("id"), "path"), docs.select("path", F.sha2("text", 256).alias("content_hash")))
+    return out.select(F.col("node_id").alias("doc_id"), "state")
+
+
+@query(f"with {E}, {N} select id as edge_id, target_id as missing_id from edges where target_id like 'part:%' and target_id not in (select id from nodes where kind = 'part' and id < 'part:5')")
+def referential_gaps(spark, d):
+    return resolve.dangling(tabular.nodes(spark, d, "part", "orders").where("kind = 'orders' or id < 'part:5'"), tabular.edges(spark, d, "lineitem"))
+
+
+# --- traversal ---
+
+
+@query(f"""with {E}, {N}, l as (select source_id as a, target_id as b, id from edges union all select target_id, source_id, id from edges where source_id <> target_id),
+r1 as (select b as node, min([id]) as way from l where a = 'customer:11' and b <> 'customer:11' group by b),
+r2 as (select l.b as node, min(list_append(r1.way, l.id)) as way from r1 join l on l.a = r1.node where l.b <> 'customer:11' and l.b not in (select node from r1) group by l.b),
+f as (select node, 1 as depth, way from r1 union all select node, 2, way from r2)
+select f.node as id, depth::int as depth, (row_number() over (order by depth, way))::int as place from f join nodes n on n.id = f.node order by depth, way limit 40""")
+def neighborhood_d2(spark, d):
+    return traverse.neighborhood(tabular.nodes(spark, d), tabular.edges(spark, d), "customer:11", depth=2, max_results=40).select("id", "depth", "place")
+
+
+@query(f"""with recursive {E}, l as (select source_id as a, target_id as b from edges union all select target_id, source_id from edges),
+w as (select 'region:1' as node, 0 as hops union select l.b, w.hops + 1 from w join l on l.a = w.node where w.hops < 3)
+select min(hops)::int as hops from w where node = (select 'customer:' || min(c_custkey) from customer join nation on c_nationkey = n_nationkey where n_regionkey = 1)""")
+def path_hops(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation").where("n_regionkey = 1"), F.col("c_nationkey") == F.col("n_nationkey")).agg(F.min("c_custkey")).first()[0]
+    way = traverse.path(tabular.edges(spark, d), "region:1", f"customer:{c}", max_hops=3)
+    return spark.createDataFrame([(None if way is None else len(way),)], "hops int")
+
+
+@query("""with recursive e as (select distinct 'o' || l_orderkey as a, 'p' || l_partkey as b from lineitem where l_orderkey < 500),
+l as (select a, b from e union all select b, a from e), w as (select a as node, a as root from l union select l.b, w.root from w join l on l.a = w.node)
+select root as component_id, count(*) as node_count from (select node, min(root) as root from w group by node) group by root""")
+def components(spark, d):
+    e = table(spark, d, "lineitem").where("l_orderkey < 500").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
+    return traverse.components(e).groupBy(F.col("root").alias("component_id")).agg(F.count(F.lit(1)).alias("node_count"))
+
+
+# --- aggregates and views ---
+
+
+@query(f"with {N}, {E} select 'node' as what, kind, count(*) as n from nodes group by kind union all select 'edge', kind, count(*) from edges group by kind")
+def kind_counts(spark, d):
+    a, b = views.counts(tabular.nodes(spark, d)), views.counts(tabular.edges(spark, d))
+    return a.select(F.lit("node").alias("what"), "kind", "n").unionByName(b.select(F.lit("edge").alias("what"), "kind", "n"))
+
+
+@query(f"with {E}, {D} select id, degree_in, degree_out, degree from deg")
+def degrees(spark, d):
+    return views.degrees(tabular.edges(spark, d))
+
+
+@query(f"with {N}, {E}, {D} select n.id, coalesce(degree, 0) as degree from nodes n left join deg on deg.id = n.id order by 2 desc, n.kind, n.path, n.id limit 30")
+def degree_topk(spark, d):
+    return views.topology_rank(tabular.nodes(spark, d), tabular.edges(spark, d), 30).select("id", "degree")
+
+
+@query(f"with {N}, {E}, {D} select n.id, coalesce(degree, 0) as degree, coalesce(degree_out, 0)::bigint as degree_out from nodes n left join deg on deg.id = n.id order by 2 desc, 3 desc, n.kind, n.path, n.id limit 30")
+def report_rank(spark, d):
+    return views.report_rank(tabular.nodes(spark, d), tabular.edges(spark, d), 30).select("id", "degree", "degree_out")
+
+
+@query(f"with {N}, {E} select id, kind from nodes where id not in (select source_id from edges where kind = 'depends_on' union select target_id from edges where kind = 'depends_on')")
+def orphans(spark, d):
+    return views.orphans(tabular.nodes(spark, d), tabular.edges(spark, d, "lineitem")).select("id", "kind")
+
+
+@query(f"with {N}, {E} select (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, 0::bigint as omitted, 0.0::double as omitted_rate")
+def health(spark, d):
+    return views.omitted_rate(tabular.nodes(spark, d), tabular.edges(spark, d), spark.createDataFrame([], "reason string, item_id string"))
+
+
+@query(f"with {E} select e.id, s.o_orderkey as source_key, t.p_partkey as target_key from edges e join orders s on e.source_id = 'orders:' || s.o_orderkey join part t on e.target_id = 'part:' || t.p_partkey where kind = 'depends_on' and s.o_orderkey % 10 = 3")
+def report_dependencies(spark, d):
+    o = tabular.nodes(spark, d, "orders")
+    e = tabular.edges(spark, d, "lineitem")
+    out = views.report_dependencies(o.unionByName(tabular.nodes(spark, d, "part")), e)
+    key = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return out.select("id", key("source_id").alias("source_key"), key("target_id").alias("target_key")).where("source_key % 10 = 3")
+
+
+@query("select sum(case when text like '%@%' then 1 else 0 end)::bigint as full_email_fields, sum(case when text like '%http%' then 1 else 0 end)::bigint as hashed_email_fields, sum(case when doc_id % 10 = 0 then 1 else 0 end)::bigint as absolute_refs, false as export_safe from documents")
+def privacy_profile(spark, d):
+    meta = F.concat(F.lit("{"), F.concat_ws(",", F.when(F.contains("text", F.lit("@")), F.lit('"author_email":"x"')), F.when(F.contains("text", F.lit("http")), F.lit('"author_email_hash":"y"'))), F.lit("}"))
+    n = table(spark, d, "documents").select(F.when(F.col("doc_id") % 10 == 0, "/abs").otherwise("rel").alias("path"), meta.alias("metadata"))
+    return views.privacy_profile(n, n.limit(0))
+
+
+@query("select 'part:' || p_partkey as id, ((row_number() over (order by 'part:' || p_partkey) - 1) // 24)::bigint as cluster from part")
+def clusters(spark, d):
+    return views.clusters(tabular.nodes(spark, d, "part"), tabular.edges(spark, d, "lineitem"))
+
+
+@query(f"""with {E}, {N}, c as (select id, ((row_number() over (order by id) - 1) // 240) as cluster from nodes where kind in ('customer', 'orders', 'nation')),
+p as (select e.id, e.kind, a.cluster as x, b.cluster as y from edges e join c a on a.id = e.source_id join c b on b.id = e.target_id where a.cluster <> b.cluster)
+select least(x, y)::bigint as low, greatest(x, y)::bigint as high, count(*) as edge_count, count(distinct kind) as kinds, min(id) as first_edge_id from p group by 1, 2""")
+def edge_bundles(spark, d):
+    n = tabular.nodes(spark, d, "customer", "orders", "nation")
+    e = tabular.edges(spark, d, "customer", "orders")
+    return views.edge_bundles(views.clusters(n, e, 240), e)
+
+
+@query(f"with {E} select id from edges where source_id like 'nation:%' and target_id like 'customer:%'")
+def visible_edges(spark, d):
+    return views.visible_edges(tabular.nodes(spark, d, "nation", "customer"), tabular.edges(spark, d)).select("id")
+
+
+@query("""with p as (select 'part' as kind, p_brand as path, p_partkey as k from part) select kind, path, min(k) as first, count(*) as n from p group by all""")
+def top_n_per_group(spark, d):
+    p = table(spark, d, "part")
+    first = diff.ranked_rows(p, "p_brand", "p_partkey", n=1).select("p_brand", F.col("p_partkey").alias("first"))
+    return p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).join(first, "p_brand").select(F.lit("part").alias("kind"), F.col("p_brand").alias("path"), "first", "n")
+
+
+# --- diffs and merges ---
+
+CUTOFF = "1997-01-01"
+
+
+def _orders_before_after(spark, d):
+    o = tabular.nodes(spark, d, "orders")
+    keyed = table(spark, d, "orders").select(F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("oid"), "o_orderkey")
+    o = o.join(keyed, F.col("id") == F.col("oid")).drop("oid")
+    old = o.where("o_orderkey % 7 <> 0").drop("o_orderkey")
+    new = o.where("o_orderkey % 5 <> 0").withColumn("label", F.when(F.col("o_orderkey") % 11 == 0, "renamed").otherwise(F.col("label"))).drop("o_orderkey")
+    empty = spark.createDataFrame([], "id string, kind string, source_id string, target_id string")
+    return bundle(old, empty), bundle(new, empty)
+
+
+@query("select 'node' as item_kind, case when o_orderkey % 7 = 0 then 'added' else 'removed' end as status, 'orders:' || o_orderkey as item_id from orders where (o_orderkey % 7 = 0) <> (o_orderkey % 5 = 0)")
+def diff_nodes(spark, d):
+    return diff.structural(*_orders_before_after(spark, d))
+
+
+@query("""select 'node' as item_kind, case when o_orderkey % 7 = 0 then 'added' else 'removed' end as status, 'orders:' || o_orderkey as item_id from orders where (o_orderkey % 7 = 0) <> (o_orderkey % 5 = 0)
+union all select 'node', 'changed', 'orders:' || o_orderkey from orders where o_orderkey % 7 <> 0 and o_orderkey % 5 <> 0 and o_orderkey % 11 = 0""")
+def ci_delta(spark, d):
+    return diff.ci_delta(*_orders_before_after(spark, d))
+
+
+@query("""select op, position::int as position, 'orders:' || k as item_id from (
+select o_orderkey as k, case when o_orderkey % 5 = 0 then 'node_delete' else 'node_upsert' end as op, case when o_orderkey % 5 = 0 then 1 else 2 end as position from orders where (o_orderkey % 7 = 0) <> (o_orderkey % 5 = 0)
+union all select o_orderkey, 'node_upsert', 2 from orders where o_orderkey % 7 <> 0 and o_orderkey % 5 <> 0 and o_orderkey % 11 = 0)""")
+def snapshot_patch(spark, d):
+    return diff.snapshot_patch(*_orders_before_after(spark, d)).select("op", "position", "item_id")
+
+
+@query("""select doc_id, case when doc_id % 9 = 0 then 'added' when doc_id % 8 = 0 then 'removed' when doc_id % 6 = 0 or doc_id % 10 = 0 then 'changed' else 'unchanged' end as status,
+case when doc_id % 9 = 0 then 'new_path' when doc_id % 8 = 0 then 'path_missing' else concat_ws(',', case when doc_id % 6 = 0 then 'content_hash_changed' end, case when doc_id % 10 = 0 then 'parser_version_changed' end) end as reasons
+from documents where not (doc_id % 9 = 0 and doc_id % 8 = 0)""")
+def path_changes(spark, d):
+    docs = table(spark, d, "documents")
+    base = docs.select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("content_hash"), F.lit("text").alias("parser"), F.lit("1").alias("parser_version"), F.octet_length("text").cast("long").alias("size_bytes"), F.lit("file").alias("file_kind"))
+    old = base.where("doc_id % 9 <> 0")
+    new = base.where("doc_id % 8 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 6 == 0, "x").otherwise(F.col("content_hash"))).withColumn("parser_version", F.when(F.col("doc_id") % 10 == 0, "2").otherwise("1"))
+    out = diff.path_changes(old.drop("doc_id"), new.drop("doc_id"))
+    return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "status", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("select l_orderkey || '|' || l_partkey as id, min(l_linenumber)::int as line from lineitem group by 1")
+def first_wins(spark, d):
+    t = table(spark, d, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_partkey").alias("id"), F.col("l_linenumber").cast("int").alias("line"))
+    return diff.first_wins(t, "id", "line").select("id", "line")
+
+
+@query("select l_orderkey || '|' || l_partkey as id, max(l_linenumber)::int as line from lineitem group by 1")
+def last_wins(spark, d):
+    t = table(spark, d, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_partkey").alias("id"), F.col("l_linenumber").cast("int").alias("line"))
+    return diff.last_wins(t, "id", "line").select("id", "line")
+
+
+@query("select 'a/' || n_nationkey as id, n_name as label from nation union all select 'b/' || n_nationkey, n_name from nation")
+def compose_union(spark, d):
+    n = table(spark, d, "nation")
+    part = lambda root: n.select(F.concat(F.lit(f"{root}/"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"))
+    return diff.disjoint_union([part("a"), part("b")], "NODE")
+
+
+@query("""with h as (select sha256(text) as hash, min(doc_id) as doc_id, count(*) as n from documents group by 1)
+select 'old/' || doc_id as previous_id, 'new/' || doc_id as current_id from h where n = 1""")
+def identity_transitions(spark, d):
+    side = lambda root: table(spark, d, "documents").select(F.concat(F.lit(f"{root}/"), F.col("doc_id").cast("string")).alias("id"), F.sha2("text", 256).alias("hash"))
+    return diff.unique_transitions(side("old"), side("new"), "hash")
+
+
+@query("select 'customer:' || c_custkey as id, c_name as label, '' as text, '{\"segment\":\"' || c_mktsegment || '\"}' as metadata from customer")
+def redaction(spark, d):
+    n = tabular.nodes(spark, d, "customer")
+    n = n.withColumn("metadata", F.concat(F.lit('{"author_name":"'), "label", F.lit('","segment":"'), "text", F.lit('"}'))).withColumn("uri", F.lit(""))
+    empty = spark.createDataFrame([], "id string, kind string, source_id string, target_id string")
+    return resolve.redacted(bundle(n, empty), "portable").nodes.select("id", "label", "text", "metadata")
+
+
+@query(f"with {N} select '  \"' || id || '\" [label=\"' || label || '\\n' || kind || case when path <> '' then '\\n' || path else '' end || '\"];' as line from nodes where kind in ('region', 'nation')")
+def export_dot_nodes(spark, d):
+    from ..sources.exports import dot_lines
+
+    return dot_lines(tabular.nodes(spark, d, "region", "nation"), tabular.edges(spark, d, "nation")).where("part = 1").select("line")
+
+
+@query("select 'loom://tables/part/' || p_partkey as uri, 'loom://tables/edge/x%7Ccontains%7C' || p_partkey as edge from part")
+def node_uris(spark, d):
+    key = F.col("p_partkey").cast("string")
+    return table(spark, d, "part").select(fn.uri("tables", F.lit("part"), key).alias("uri"), fn.edge_uri("tables", F.lit("x"), F.lit("contains"), key).alias("edge"))
