@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory whatever the Arrow batch holds.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+#: Rows in an Arrow batch, of texts of any length; the session's own setting holds where it is smaller.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +38,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(), in batches of few rows; a Python worker gives its free memory back to the system after each task."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for n, out in enumerate(function(batches)):
+                yield out
+                if n % 16 == 15:
+                    pa.default_memory_pool().release_unused()
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, and each row's offset (one more than rows); a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, partitions_for, shared_dir, steps
+from .common import cut, mapped, packed, partitions_for, shared_dir, steps
 from .nptext import U64, powers, prefix_hashes, span_hashes
 
 LENGTH, PIECE = 400, 16
@@ -115,7 +115,7 @@ def _over(docs: DataFrame, lists: dict[str, DataFrame], make: Callable, schema:
         docs = docs.join(_lists(codes).withColumnRenamed("codes", name), ["k", "h"], "left")
     if keep == "inner":
         docs = docs.where(" or ".join(f"{n} is not null" for n in lists))
-    return docs.mapInArrow(make, schema)
+    return mapped(docs, make, schema)
 
 
 def _codes(column: pa.Array, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +166,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> Data
                 k, h = (b.column(i).to_numpy(zero_copy_only=False)[blocks.row] for i in (0, 1))
                 yield _row({"gram": blocks.hashes(blocks.anchor, blocks.anchor + blocks.k), "k": k, "tag": (h & 0xFFFFFFFF) << 32 | blocks.number})
 
-    grams = keyed.mapInArrow(anchors, "gram long, k long, tag long")
+    grams = mapped(keyed, anchors, "gram long, k long, tag long")
     single = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min("tag").alias("tag")).where("n = 1")
     # the tag's upper half is h again, sign and all
     single = single.select("k", F.shiftright("tag", 32).alias("h"), F.col("tag").bitwiseAND(0xFFFFFFFF).alias("code"))
@@ -182,7 +182,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> Data
     name = f"llm_exact_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     joined = keyed.join(_lists(single).withColumnRenamed("codes", "dead"), ["k", "h"], "left")
-    joined.mapInArrow(live, "k long, h long, text string, dead array<long>").write.bucketBy(parts, "k", "h").option("path", path).saveAsTable(name)
+    mapped(joined, live, "k long, h long, text string, dead array<long>").write.bucketBy(parts, "k", "h").option("path", path).saveAsTable(name)
     some = spark.table(name)
 
     def alive(b: pa.RecordBatch) -> tuple[Blocks, np.ndarray]:
@@ -201,7 +201,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> Data
                 k, h = (b.column(c).to_numpy(zero_copy_only=False)[blocks.row[i]] for c in (0, 1))
                 yield _row({"gram": blocks.hashes(a, a + blocks.k), "whole": blocks.hashes(f, z + length, a - f), "k": k, "h": h, "code": blocks.number[i]})
 
-    kinds = _classes(some.mapInArrow(stretches, "gram long, whole long, k long, h long, code long"), "gram").where("kinds > 1")
+    kinds = _classes(mapped(some, stretches, "gram long, whole long, k long, h long, code long"), "gram").where("kinds > 1")
     refs = cut(kinds.select("ref.k", "ref.h", (F.col("ref.code") * 2 + F.when(F.col("copies") > 1, 1).otherwise(0)).alias("code")))
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

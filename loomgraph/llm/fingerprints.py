@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, partitions_for, steps
+from .common import mapped, packed, partitions_for, steps
 from .nptext import U64, prefix_hashes, shingles, span_hashes
 
 SHINGLE, ONE_IN = 5, 8
@@ -151,11 +151,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     placed = docs.select(search(0, len(bounds)).alias("part"), F.lit(False).alias("only_next"), "doc_id", "text")
     firsts = sorted((r[1], r[0]) for r in placed.groupBy("part").agg(F.min(low)).collect())
     if not firsts:
-        return placed.limit(0).mapInArrow(_run, OUT)
+        return mapped(placed.limit(0), _run, OUT)
     # a part's first document follows up on the part before; the first part's on the last, to close the ring
     where = F.create_map(*(F.lit(x) for k, (first, _) in enumerate(firsts) for x in (first, firsts[k - 1][1])))
     first_rows = placed.where(low.isin([first for first, _ in firsts]))
     # of rows that share a first doc_id only the first by text follows
     first_rows = first_rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     both = placed.unionByName(first_rows.select(where[low].alias("part"), F.lit(True).alias("only_next"), "doc_id", "text"))
-    return both.repartition(len(labels), "part").sortWithinPartitions("part", "only_next", "doc_id", F.coalesce("text", F.lit(""))).mapInArrow(_run, OUT)
+    return mapped(both.repartition(len(labels), "part").sortWithinPartitions("part", "only_next", "doc_id", F.coalesce("text", F.lit(""))), _run, OUT)

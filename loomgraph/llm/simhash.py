@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, partitions_for, steps
+from .common import cut, mapped, packed, partitions_for, steps
 from .graph import components
 from .nptext import U64, bit_counts, majority, mix, shingles
 
@@ -75,7 +75,7 @@ def fingerprinted(docs: DataFrame, make: Callable[[pa.Array], np.ndarray], words
                 f = make(b.column(1)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(words))], names=["doc_id", *(f"f{k}" for k in range(words))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(words)))
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(words)))
 
 
 def block(f: np.ndarray, k: int) -> np.ndarray:
@@ -203,9 +203,9 @@ def linked(prints: DataFrame, words: int, radius: int, blocks: int, exact: bool
         if held:
             yield done()
 
-    visits = nodes.select(*names, "node").mapInArrow(route, "shard int, home boolean, node long, " + ", ".join(f"{x} long" for x in names))
+    visits = mapped(nodes.select(*names, "node"), route, "shard int, home boolean, node long, " + ", ".join(f"{x} long" for x in names))
     shards = visits.repartition(max(1, min(blocks << depth, 4 * partitions_for(spark))), "shard").sortWithinPartitions("shard", "node")
-    roots = components(shards.mapInArrow(search, "a long, b long"))
+    roots = components(mapped(shards, search, "a long, b long"))
     # The component's id: the least of its nodes' least ids; nodes without a link keep their own.
     marked = nodes.join(roots, "node", "left").select(*names, "id", F.coalesce("root", "node").alias("root"))
     marked = cut(marked)

@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, steps
+from .common import mapped, packed, steps
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,7 +111,7 @@ def section_tokens(docs: DataFrame, path: str = VOCABULARY, rule: str = "start")
                     names=["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, OUT)
+    return mapped(docs.select("doc_id", "text"), run, OUT)
 
 
 def field_tokens(table: DataFrame, fields: list[str], path: str = VOCABULARY, rule: str = "start") -> DataFrame:
@@ -131,4 +131,4 @@ def field_tokens(table: DataFrame, fields: list[str], path: str = VOCABULARY, ru
 
     given = table.select(*(F.octet_length(k).alias(f"__{i}") for i, k in enumerate(known)), F.concat_ws("\n", *known).alias("__text"), *table.columns)
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
-    return given.mapInArrow(run, ", ".join(f"`tokens_{f}` long" for f in fields) + ", " + rest)
+    return mapped(given, run, ", ".join(f"`tokens_{f}` long" for f in fields) + ", " + rest)

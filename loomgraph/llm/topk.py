@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, mapped
 
 LISTS, QUERY_BLOCK, SHARD_ROWS, SCALE = 4, 2048, 8192, 1024
 #: Queries scored at once in a task.
@@ -140,10 +140,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = SCALE)
                 out[2].extend(score[good].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
-    first = together(asked.withColumn("cutoff", F.lit(None).cast("long"))).mapInArrow(gather, "query_id long, score long")
+    first = mapped(together(asked.withColumn("cutoff", F.lit(None).cast("long"))), gather, "query_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc())
     # The k-th best sum; a query with fewer than k rows in all has none, and takes every row.
     kth = first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
-    found = together(asked.join(kth, "vec_id", "left").select(*rows.columns, "cutoff")).mapInArrow(collect, "query_id long, vec_id long, score long")
+    found = mapped(together(asked.join(kth, "vec_id", "left").select(*rows.columns, "cutoff")), collect, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import mapped, shared_dir
 
 #: Payloads below this many bytes aren't worth a revisit record.
 LEAST_BYTES = 100
@@ -89,7 +89,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES, level: int =
     """Writes the archives into `folder` (a URI all executors reach) and returns their manifest, which is stored beside them."""
     files, path = pafs.FileSystem.from_uri(folder)
     files.create_dir(path, recursive=True)
-    manifest = decided(pages, least).mapInArrow(_writer(folder, level), MANIFEST)
+    manifest = mapped(decided(pages, least), _writer(folder, level), MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -143,7 +143,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the archives that the manifest in `folder` names; responses' payloads are checked against their digests."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    return manifest.select("file").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(_reader, RECORD)
+    return mapped(manifest.select("file").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file"), _reader, RECORD)
 
 
 def resolve(records: DataFrame) -> DataFrame:
