@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut, shared_dir
+
+__all__ = ["cut", "mapped", "packed", "partitions_for", "shared_dir", "steps", "table"]
+
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory whatever the Arrow batch holds.
 STEP_BYTES = 1 << 20
 #: Rows in an Arrow batch, of texts of any length; the session's own setting holds where it is smaller.
@@ -21,23 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a new local one."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if there:
-        return there
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-ckpt-"))
-    return str(jsc.getCheckpointDir().get())
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, its lineage cut; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow(), in batches of few rows; a Python worker gives its free memory back to the system after each task."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -53,9 +53,10 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(texts)), [len(t) for t in marked])
     blank = raw == 32
     n_letters = np.bincount(row[~blank], minlength=len(texts))
-    # Runs of spaces become one; the two at a border between texts too, so that the space belongs to the first.
+    # Runs of spaces become one; each text keeps the one before its first word.
     keep = ~blank
     keep[1:] |= ~blank[:-1]
+    keep[np.concatenate(([0], np.cumsum([len(t) for t in marked])[:-1])).astype(np.int64)] = True
     raw, row, blank = raw[keep].astype(np.uint64), row[keep], blank[keep]
     hashes, rows = [], []
     for n in SIZES:

@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.traverse import components
 from .common import cut, mapped, packed, partitions_for, steps
-from .graph import components
 from .nptext import U64, bit_counts, majority, mix, shingles
 
 #: Shingle of the contract's fingerprint, bits that may differ, blocks that those are spread over.
