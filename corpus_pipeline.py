@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from loomgraph.llm import exact, language, mixing, pieces, simhash
 from loomgraph.llm.common import shared_dir
 
-#: The least part of a text's n-grams that its language's filter must know; bytes of a repeated passage (50 words).
-COVERAGE, PASSAGE = 0.1, 200
+#: The least part of a text's n-grams that its language's filter must know, and characters below which that says nothing; bytes of a repeated passage (50 words).
+COVERAGE, SHORT, PASSAGE = 0.1, 20, 200
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language, with it as their lang; texts without a letter or in none of the languages go."""
+    """Documents in a learned language, with it as their lang; texts without a letter go, and those of SHORT characters or more in none of the languages."""
     model = language.fit(docs)
     others = [c for c in docs.columns if c not in ("text", "doc_id", "lang")]
     found = language.predict(docs, model, *others, keep_text=True)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("coverage") >= COVERAGE))
+    kept = found.where((F.col("lang_pred") != "und") & ((F.col("coverage") >= COVERAGE) | (F.length("text") < SHORT)))
     return kept.withColumnRenamed("lang_pred", "lang").select(*docs.columns)
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import base64
-import hashlib
 import json
 import re
-from dataclasses import dataclass, field
+from base64 import urlsafe_b64decode, urlsafe_b64encode
+from dataclasses import dataclass, field, replace
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +21,10 @@ PARTS = {"requested_node_id": 1000.0, "exact_id": 900.0, "exact_path": 700.0, "e
 class Request:
     query: str
     node_ids: tuple[str, ...] = ()
-    max_results: int = 10
-    include_edges: bool = True
+    max_results: int = 10  # 1 at least
     cursor: str = ""
     max_examined: int | None = None
-
-    def __post_init__(self) -> None:
-        object.__setattr__(self, "max_results", max(1, int(self.max_results)))
+    include_edges: bool = True
 
 
 @dataclass(frozen=True)
@@ -75,26 +72,25 @@ def page(hits: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def fingerprint(r: Request) -> str:
-    body = {"include_edges": r.include_edges, "max_examined": r.max_examined, "max_results": r.max_results, "node_ids": list(r.node_ids), "query": r.query}
-    return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    return sha256(repr((r.query, tuple(r.node_ids), r.max_results, r.max_examined, r.include_edges)).encode()).hexdigest()
 
 
 def make_cursor(r: Request, offset: int) -> str:
-    raw = json.dumps({"fingerprint": fingerprint(r), "offset": offset, "version": CURSOR_VERSION}, sort_keys=True, separators=(",", ":"))
-    return base64.urlsafe_b64encode(raw.encode()).decode().rstrip("=")
+    raw = json.dumps([CURSOR_VERSION, fingerprint(r), offset])
+    return urlsafe_b64encode(raw.encode()).decode().rstrip("=")
 
 
 def read_cursor(r: Request) -> int:
     if not r.cursor:
         return 0
     try:
-        body = json.loads(base64.urlsafe_b64decode(r.cursor + "=" * (-len(r.cursor) % 4)))
-        offset = int(body["offset"])
-        if body["version"] != CURSOR_VERSION or offset < 0:
-            raise ValueError("another version, or a negative offset")
-    except (ValueError, TypeError, KeyError) as e:
+        missing = -len(r.cursor) % 4
+        version, of, offset = json.loads(urlsafe_b64decode(r.cursor + missing * "="))
+        if version != CURSOR_VERSION or type(offset) is not int or offset < 0:
+            raise ValueError("another version, or no offset")
+    except (ValueError, TypeError) as e:
         raise GraphError("INVALID_QUERY_CURSOR", "the cursor is malformed", error=str(e)) from e
-    if body.get("fingerprint") != fingerprint(r):
+    if of != fingerprint(r):
         raise GraphError("QUERY_CURSOR_MISMATCH", "the cursor belongs to another request")
     return offset
 
@@ -102,6 +98,7 @@ def read_cursor(r: Request) -> int:
 def search(nodes: DataFrame, request: Request | str, edges: DataFrame | None = None) -> Result:
     """A page of hits, with their incident edges (`edges`: sorted ids) if asked for."""
     r = Request(request) if isinstance(request, str) else request
+    r = replace(r, max_results=max(1, r.max_results))
     offset = read_cursor(r)
     hits = scored(nodes, r.query, r.node_ids)
     # a budget is checked on what would be scored, before any of it is

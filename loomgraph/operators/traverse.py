@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut
 from .search import incident
 
+Kinds = tuple[str, ...]
 
-def _undirected(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+
+def _undirected(edges: DataFrame, kinds: Kinds) -> DataFrame:
     edges = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
     both = incident(edges.select("id", "source_id", "target_id"))
     return both.select("node_id", F.col("id").alias("edge_id"), F.when(F.col("source_id") == F.col("node_id"), F.col("target_id")).otherwise(F.col("source_id")).alias("other"))
@@ -28,7 +31,7 @@ def _start(links: DataFrame, node_id: str) -> DataFrame:
     return links.sparkSession.createDataFrame([(node_id, [])], "node_id string, way array<string>")
 
 
-def neighborhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 1, max_results: int = 10, edge_kinds: tuple[str, ...] = (), node_kinds: tuple[str, ...] = ()) -> DataFrame:
+def neighborhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 1, max_results: int = 10, edge_kinds: Kinds = (), node_kinds: Kinds = ()) -> DataFrame:
     """Nodes around one, in breadth-first order: depth, way, score (max_results less the place, 1 at least).
 
     A node of another kind than asked for, or that has no row, counts as visited and isn't gone on from.
@@ -48,14 +51,12 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int =
         found = visited.withColumn("depth", F.lit(0)).limit(0)
     top = found.orderBy("depth", "way").limit(max_results)
     # max_results rows: one window over them is no bottleneck
-    from pyspark.sql.window import Window
-
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("depth", "way"))
     top = top.withColumn("place", place).withColumn("score", F.greatest(F.lit(1.0), (max_results - F.col("place") + 1).cast("double")))
     return top.join(nodes, F.col("node_id") == F.col("id")).select("id", "kind", "label", "path", "depth", "way", "place", "score")
 
 
-def path(edges: DataFrame, source_id: str, target_id: str, max_hops: int = 4, edge_kinds: tuple[str, ...] = ()) -> list[str] | None:
+def path(edges: DataFrame, source_id: str, target_id: str, max_hops: int = 4, edge_kinds: Kinds = ()) -> list[str] | None:
     """Edge ids of the first shortest path; [] from a node to itself, None if there is none within max_hops."""
     if source_id == target_id:
         return []
@@ -71,7 +72,7 @@ def path(edges: DataFrame, source_id: str, target_id: str, max_hops: int = 4, ed
     return None
 
 
-def path_nodes(nodes: DataFrame, edges: DataFrame, source_id: str, way: list[str], node_kinds: tuple[str, ...] = ()) -> DataFrame | None:
+def path_nodes(nodes: DataFrame, edges: DataFrame, source_id: str, way: list[str], node_kinds: Kinds = ()) -> DataFrame | None:
     """The nodes along a path, by hop; None if one has another kind than asked for (no other path is tried)."""
     ends = {r["id"]: (r["source_id"], r["target_id"]) for r in edges.where(F.col("id").isin(*way)).select("id", "source_id", "target_id").collect()} if way else {}
     ids = [source_id]

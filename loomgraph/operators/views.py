@@ -116,7 +116,7 @@ def privacy_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return sums.withColumn("export_safe", (F.col("full_email_fields") == 0) & (F.col("absolute_refs") == 0))
 
 
-PRESETS = ("file_map", "symbol_map", "doc_links", "changed_recently", "orphans", "high_degree")
+PRESETS = frozenset("changed_recently doc_links file_map high_degree orphans symbol_map".split())
 
 
 def preset(name: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def preset(name: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return orphans(nodes, edges)
     if name == "high_degree":
         return nodes
-    raise ValueError(f"preset must be one of {PRESETS}")
+    raise ValueError(f"preset must be one of {sorted(PRESETS)}")
 
 
 def symbols(nodes: DataFrame) -> DataFrame:
