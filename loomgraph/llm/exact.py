@@ -1,7 +1,7 @@
 """Exact substring dedup: every byte covered by a string of `length` bytes that also starts elsewhere.
 
-A suffix array over every byte would shuffle tens of bytes per byte of text in each of its rounds, many times what a
-corpus takes on disk (suffixes.py has it, by difference covers, for tables that can pay that; the README has figures).
+A suffix array over every byte (suffixes.py has it, by difference covers) shuffles hundreds of bytes per byte of text, far
+more than a corpus may take on disk; the README has figures.
 The production path keeps the idea of naming sampled positions and settling the rest by their names, but samples by
 content: of the K-byte strings in every window of `length` bytes the one with the least hash is its anchor, so equal
 windows have their anchor at the same place. Windows in a row that share an anchor form a block, and

@@ -348,3 +348,23 @@ def test_pipeline(spark):
     kept = corpus_pipeline.near_dedup(spark, first, DIR)
     texts = [r["text"] for r in kept.collect()]
     assert len(texts) == len(set(texts)) < docs.count()
+
+
+def test_suffix_ranks(spark):
+    from loomgraph.llm import suffixes
+
+    r = random.Random(4)
+    for text in ("abcabcabcabcab", "".join(r.choice("ab") for _ in range(150))):
+        df = spark.createDataFrame([(i, ord(c)) for i, c in enumerate(text)], "pos long, sym long")
+        got = [x["pos"] for x in suffixes.ranks(df).orderBy("rank").collect()]
+        assert got == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_repeated_starts_agree_with_the_windows(spark):
+    from loomgraph.llm import suffixes
+
+    texts = ["xyz" * 5 + "q", None, "", "hello xyzxyzxyz", "short"]
+    got = {(r["doc_id"], r["at"]) for r in suffixes.repeated_starts(make(spark, texts), 8).collect()}
+    raw = [t or "" for t in texts]
+    seen = collections.Counter(t[i : i + 8] for t in raw for i in range(len(t) - 7))
+    assert got == {(d, i) for d, t in enumerate(raw) for i in range(len(t) - 7) if seen[t[i : i + 8]] > 1}
