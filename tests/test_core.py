@@ -1,6 +1,7 @@
 """Operators on small graphs, against plain Python and by relations that must hold."""
 
 import json
+import os
 import random
 import subprocess
 from collections import deque
@@ -211,12 +212,15 @@ def test_refresh_parses_only_what_changed(spark, tree, tmp_path):
 
 
 def test_git(spark, tree):
-    run = lambda *a: subprocess.run(["git", "-C", str(tree), "-c", "user.name=A", "-c", "user.email=A@x.org", *a], check=True, capture_output=True)
+    def run(*a, at="2024-01-01T00:00:00Z"):
+        dates = {"GIT_AUTHOR_DATE": at, "GIT_COMMITTER_DATE": at}
+        subprocess.run(["git", "-C", str(tree), "-c", "user.name=A", "-c", "user.email=A@x.org", *a], check=True, capture_output=True, env=os.environ | dates)
+
     run("init", "-q")
     run("add", "-A")
     run("commit", "-qm", "one")
     run("mv", "src/helper.py", "src/util.py")
-    run("commit", "-qm", "two")
+    run("commit", "-qm", "two", at="2024-01-02T00:00:00Z")
     text, why = git.log(str(tree))
     assert not why
     rows = git.commits(spark, text).cache()
