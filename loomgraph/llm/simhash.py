@@ -10,17 +10,21 @@ costs a row a member; connected components of the forests are those of all links
 Edge cases: a null or wordless text has fingerprint zero, linked like any other; fewer words than a shingle are one
 shingle; equal fingerprints are one node; rows with a null doc_id get the component of their fingerprint and never name
 one; an empty table gives no rows.
+
+similar() asks for near copies by Jaccard similarity instead: wider fingerprints over distinct shingles, so that a
+repeated line counts once, only propose candidates; the sets of shingles decide.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.traverse import components
@@ -31,6 +35,8 @@ from .nptext import U64, bit_counts, majority, mix, shingles
 SHINGLE, RADIUS, BLOCKS = 4, 4, 4
 #: Fingerprints that the top of a tree is built on; how many a shard should hold; a leaf's most.
 SAMPLE, SHARD, LEAF = 8192, 32768, 128
+#: Fingerprints of one band of sizes that similar() compares with as many others in one go.
+CHUNK = 16384
 
 
 def xxh_fingerprints(texts: pa.Array) -> np.ndarray:
@@ -53,10 +59,24 @@ def xxh_fingerprints(texts: pa.Array) -> np.ndarray:
     return majority(bit_counts(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), begin), n)[:, None]
 
 
-def wide_fingerprints(texts: pa.Array, words: int = 4, shingle: int = 5) -> np.ndarray:
-    """`words` independent 64-bit SimHashes over five-word shingles: rows x words."""
+def distinct_shingles(texts: pa.Array, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's distinct five-word shingles in order, and for each row the number of its first one."""
     data, off = packed(texts)
     h, begin = shingles(data, off, shingle)
+    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(begin) - 1)))).astype(np.int64)
+
+
+def wide_fingerprints(texts: pa.Array, words: int = 4, shingle: int = 5) -> np.ndarray:
+    """`words` independent 64-bit SimHashes over the distinct five-word shingles: rows x words."""
+    return _wide(*distinct_shingles(texts, shingle), words)
+
+
+def _wide(h: np.ndarray, begin: np.ndarray, words: int) -> np.ndarray:
     n = np.diff(begin)
     return np.stack([majority(bit_counts(mix(h + U64(k * 0x9E3779B97F4A7C15 % (1 << 64))), begin), n) for k in range(words)], axis=1)
 
@@ -150,15 +170,11 @@ def forest(f: np.ndarray, home: np.ndarray, k: int, radius: int, within: int) ->
     return found
 
 
-def linked(prints: DataFrame, words: int, radius: int, blocks: int, exact: bool = True) -> DataFrame:
-    """prints with `component_id`: the least doc_id reached over links of at most `radius` bits.
-
-    exact: blocks times a block's radius cover every link (pigeonhole). Otherwise a block's radius is 1: of a link, a
-    block is likely, not certain, to differ by so little, and more blocks find more.
-    """
+def linked(prints: DataFrame, words: int, radius: int, blocks: int) -> DataFrame:
+    """prints with `component_id`: the least doc_id reached over links of at most `radius` bits; blocks times a block's radius cover every link (pigeonhole)."""
     spark = prints.sparkSession
     names = [f"f{k}" for k in range(words)]
-    within = radius // blocks if exact else 1
+    within = radius // blocks
     prints = cut(prints)
     # one node a fingerprint; of several words, the first is enough to hash by and a digest stands for all
     node = F.col("f0") if words == 1 else F.xxhash64(*names)
@@ -220,8 +236,197 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, slack: float = 0.03, words: int = 4) -> DataFrame:
-    """doc_id, component_id: documents linked whose five-word shingles are estimated, on 64 * words bits, to have that Jaccard similarity (less the estimate's slack)."""
-    radius = bits_for(similarity - slack, 64 * words)
-    prints = fingerprinted(docs, lambda t: wide_fingerprints(t, words), words)
-    return linked(prints, words, radius, 4 * words, exact=False).select("doc_id", "component_id")
+def size_bounds(similarity: Fraction, most: int) -> np.ndarray:
+    """Least size of each band, up to size `most`: sets of that Jaccard similarity lie in one band or in two that adjoin."""
+    out = [0, 1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] / similarity)))
+    return np.array(out)
+
+
+def near_pairs(f: np.ndarray, size: np.ndarray, first: np.ndarray, radius: int, similarity: Fraction) -> list[tuple[int, int]]:
+    """Pairs of rows that join what all links join: of the rows marked `first` with the others, or with each other if there are no others.
+
+    A link is at most `radius` bits between sets whose sizes allow the similarity.
+    """
+    own, ask = np.flatnonzero(first), np.flatnonzero(~first)
+    same = not len(ask)
+    ask = own if same else ask
+    cols = [np.ascontiguousarray(f[own, w]) for w in range(f.shape[1])]
+    root = np.arange(len(f))
+    found: list[tuple[int, int]] = []
+    at = max(1, (1 << 19) // max(1, len(own)))
+    for s in range(0, len(ask), at):
+        q = ask[s : s + at]
+        far = np.zeros((len(q), len(own)), np.uint16)
+        for w in range(max(1, f.shape[1] - 1)):
+            far += np.bitwise_count(f[q, w][:, None] ^ cols[w][None, :])
+        i, j = np.nonzero(far <= radius)
+        d = far[i, j]
+        if f.shape[1] > 1:
+            d = d + np.bitwise_count(f[q[i], -1] ^ cols[-1][j])
+        a, b = q[i], own[j]
+        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        ok = (d <= radius) & (similarity.denominator * low >= similarity.numerator * high)
+        if same:
+            ok &= a < b
+        a, b = a[ok], b[ok]
+        new = root[a] != root[b]
+        a, b = a[new], b[new]
+        for x in np.unique(a).tolist():
+            others = b[a == x]
+            roots, at_ = np.unique(root[others], return_index=True)
+            other = roots != root[x]
+            if other.any():
+                found += [(x, int(y)) for y in others[at_[other]]]
+                root[np.isin(root, roots) | (root == root[x])] = min(int(roots.min()), int(root[x]))
+    return found
+
+
+def similar_sets(sets: list[np.ndarray], similarity: Fraction) -> np.ndarray:
+    """For each set (sorted hashes) the least row that links of exactly that Jaccard similarity or more join it to.
+
+    Prefix filter: with the rarest hashes first, two such sets share one of their first |set| - ceil(similarity |set|) + 1.
+    """
+    num, den = similarity.numerator, similarity.denominator
+    size = np.array([len(x) for x in sets], np.int64)
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    edges = np.concatenate(([0], np.cumsum(size)))
+    ranked = [np.sort(rank[code[a:z]]) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    held: dict[int, list[int]] = {}
+    mark = np.zeros(len(count), bool)
+    for b in np.argsort(size, kind="stable").tolist():
+        mine, n = ranked[b], int(size[b])
+        head = mine[: n + num * -n // den + 1].tolist() if n else []
+        mark[mine] = True
+        seen: set[int] = set()
+        for token in head:
+            for a in held.get(token, ()):
+                if a in seen:
+                    continue
+                seen.add(a)
+                m = int(size[a])
+                if den * m >= num * n and find(a) != find(b) and (num + den) * int(mark[ranked[a]].sum()) >= num * (m + n):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+        mark[mine] = False
+        for token in head:
+            held.setdefault(token, []).append(b)
+    return np.array([find(x) for x in range(len(sets))])
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first column, by which the batches are sorted."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        start = 0
+        for end in [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []:
+            if held and keys[start] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = keys[start]
+            held.append(batch.slice(start, end - start))
+            start = end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def similar_prints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_key, node (a digest of the set of distinct shingles), size of that set, f0, f1, ...: of every whole text."""
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in steps(batch, "text"):
+                h, begin = distinct_shingles(b.column(2))
+                f = _wide(h, begin, words).view(np.int64)
+                edges = begin.tolist()
+                node = np.array([xxhash.xxh64_intdigest(h[a:z].tobytes()) for a, z in zip(edges, edges[1:])], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(np.diff(begin)), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(words))], names=["doc_id", "text_key", "node", "size", *names])
+
+    return mapped(docs.select("doc_id", text_key().alias("text_key"), "text"), run, "doc_id long, text_key long, node long, size long, " + ", ".join(f"{x} long" for x in names))
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 4) -> DataFrame:
+    """doc_id, component_id: documents linked whose sets of distinct five-word shingles have that Jaccard similarity or more.
+
+    Candidates are all pairs of fingerprints within five standard deviations of the bits expected at that similarity, of
+    sets whose sizes allow it; every component of candidates is then cut by the exact similarities of its sets.
+    """
+    spark, names, bits = docs.sparkSession, [f"f{k}" for k in range(words)], 64 * words
+    t = Fraction(str(similarity))
+    share = bits_for(similarity, bits) / bits
+    radius = round(bits * share + 5 * math.sqrt(bits * share * (1 - share)))
+    prints = cut(similar_prints(docs, words))
+    nodes = cut(prints.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), *(F.first(x).alias(x) for x in names)))
+    most = nodes.agg(F.max("size")).first()[0]
+    if most is None:
+        return prints.select("doc_id", F.col("doc_id").alias("component_id"))
+    bounds = size_bounds(t, most)
+    band = F.array_size(F.filter(F.array(*(F.lit(int(x)) for x in bounds)), lambda x: x <= F.col("size"))) - 1
+    nodes = nodes.withColumn("band", band.cast("int"))
+    chunks = np.zeros(len(bounds) + 1, np.int64)
+    for r in nodes.groupBy("band").count().collect():
+        chunks[r[0]] = -(-r[1] // CHUNK)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a chunk meets every chunk of its band and of the next; a meeting is numbered by the two chunks
+        base = np.concatenate(([0], np.cumsum(chunks)))
+        for batch in batches:
+            b, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own = base[b] + (mix(node.view(np.uint64)) % chunks[b].astype(np.uint64)).astype(np.int64)
+            low = base[np.maximum(b - 1, 0)]
+            many = base[b + 2] - low
+            row = np.repeat(np.arange(len(b)), many)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + low[row]
+            mine = own[row]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, other) << 32 | np.maximum(mine, other)), pa.array(mine <= other), *(batch.column(i).take(take) for i in range(1, batch.num_columns))], names=["shard", "first", "node", "size", *names])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches):
+            first, shard = group.column("first").to_numpy(), int(group.column("shard")[0].as_py())
+            if shard >> 32 != shard & 0xFFFFFFFF and first.all() or not first.any():
+                continue
+            f = np.stack([group.column(x).to_numpy() for x in names], axis=1).view(np.uint64)
+            ids = group.column("node").to_numpy()
+            pairs = np.array(near_pairs(f, group.column("size").to_numpy(), first, radius, t), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches):
+            ids = group.column("node").to_numpy()
+            sets: list[np.ndarray] = []
+            for batch in group.to_batches():
+                for b in steps(batch, "text"):
+                    h, begin = distinct_shingles(b.column(2))
+                    sets += [h[a:z] for a, z in zip(begin[:-1].tolist(), begin[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[similar_sets(sets, t)])], names=["node", "root"])
+
+    visits = mapped(nodes.select("band", "node", "size", *names), meet, "shard long, first boolean, node long, size long, " + ", ".join(f"{x} long" for x in names))
+    shards = visits.repartition(4 * partitions_for(spark), "shard").sortWithinPartitions("shard")
+    loose = components(mapped(shards, search, "a long, b long"))
+    asked = cut(nodes.select("node", "text_key").join(loose, "node"))
+    texts = docs.select(text_key().alias("text_key"), "text").join(asked.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.max("text").alias("text"))
+    members = asked.join(texts, "text_key").select("root", "node", F.coalesce("text", F.lit("")).alias("text"))
+    members = members.repartition(partitions_for(spark), "root").sortWithinPartitions("root", "node")
+    exact = mapped(members, confirm, "node long, root long")
+    marked = cut(prints.select("doc_id", "node").join(exact, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
+    least = marked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return marked.join(least, "root").select("doc_id", "component_id")

@@ -131,6 +131,39 @@ def test_similar_links_near_copies(spark):
     assert got == {i: i % 30 for i in range(60)}
 
 
+def shingle_set(text):
+    w = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()).split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_counts_a_repeated_line_once(spark):
+    r = random.Random(7)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    line = words(10)
+    clean = [words(200) + (" " + line) * 15 for _ in range(4)]
+    base = [words(200) for _ in range(4)]
+    texts = [*clean, *(f"{t} {line}" for t in base), *(t + (" " + line) * 60 for t in base)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar(make(spark, texts)).collect()}
+    assert got == {i: i - 4 if i >= 8 else i for i in range(12)}
+
+
+def test_similar_is_exact(spark):
+    texts = hard_texts() + [t for t in docs_table(spark).toPandas()["text"]]
+    r = random.Random(8)
+    for n in (5, 8, 9, 13, 24, 49, 104):
+        t = [str(r.random()) for _ in range(n)]
+        texts += [" ".join(t), " ".join(t[:-1]), " ".join([*t, "x"]), " ".join(["x", *t[: n - n // 9]])]
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar(make(spark, texts)).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_fingerprints(spark):
     texts = hard_texts()
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(make(spark, texts)).collect()}
