@@ -286,6 +286,12 @@ def components(spark, d):
     return traverse.components(e).groupBy(F.col("root").alias("component_id")).agg(F.count(F.lit(1)).alias("node_count"))
 
 
+@query()
+def graph_components(spark, d):
+    """Of the whole graph; without SQL, whose recursion can't go over all edges."""
+    return traverse.graph_components(tabular.nodes(spark, d), tabular.edges(spark, d))
+
+
 # --- aggregates and views ---
 
 

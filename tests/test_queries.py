@@ -1,5 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
+import collections
+
 import duckdb
 import pytest
 
@@ -29,5 +31,36 @@ def test_query(spark, con, name):
     assert rows(ours, cols) == rows(theirs, cols)
 
 
+def test_graph_components_of_the_whole_graph(spark, con):
+    from loomgraph.plans.tabular_queries import E, N
+
+    nodes = {r[0] for r in con.sql(f"with {N} select id from nodes").fetchall()}
+    edges = con.sql(f"with {E} select source_id, target_id from edges").fetchall()
+    root = {x: x for x in nodes.union(*edges)}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    size, inner = collections.Counter(map(find, root)), collections.Counter(find(a) for a, _ in edges)
+    real = {find(x) for x in nodes}
+    got = {tuple(r) for r in entry.queries()["graph_components"](spark, DIR).collect()}
+    assert got == {(c, size[c], inner[c]) for c in real}
+
+
+def test_graph_components_with_dangling_ends(spark):
+    from loomgraph.operators import traverse
+
+    nodes = spark.createDataFrame([(x,) for x in "abcdez"], "id string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "x"), ("d", "x"), ("e", "e"), ("p", "q")], "source_id string, target_id string")
+    got = {tuple(r) for r in traverse.graph_components(nodes, edges).collect()}
+    assert got == {("a", 2, 2), ("c", 3, 2), ("e", 1, 1), ("z", 1, 0)}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
