@@ -335,6 +335,13 @@ def report_dependencies(spark, d):
     return out.select("id", key("source_id").alias("source_key"), key("target_id").alias("target_key")).where("source_key % 10 = 3")
 
 
+@query(f"with {E} select e.id, s.o_orderkey as source_key, t.p_partkey as target_key from edges e join orders s on e.source_id = 'orders:' || s.o_orderkey join part t on e.target_id = 'part:' || t.p_partkey where kind = 'depends_on'")
+def report_dependencies_all(spark, d):
+    out = views.report_dependencies(tabular.nodes(spark, d, "orders", "part"), tabular.edges(spark, d, "lineitem"))
+    key = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return out.select("id", key("source_id").alias("source_key"), key("target_id").alias("target_key"))
+
+
 @query("select sum(case when text like '%@%' then 1 else 0 end)::bigint as full_email_fields, sum(case when text like '%http%' then 1 else 0 end)::bigint as hashed_email_fields, sum(case when doc_id % 10 = 0 then 1 else 0 end)::bigint as absolute_refs, false as export_safe from documents")
 def privacy_profile(spark, d):
     meta = F.concat(F.lit("{"), F.concat_ws(",", F.when(F.contains("text", F.lit("@")), F.lit('"author_email":"x"')), F.when(F.contains("text", F.lit("http")), F.lit('"author_email_hash":"y"'))), F.lit("}"))

@@ -62,5 +62,10 @@ def test_graph_components_with_dangling_ends(spark):
     assert got == {("a", 2, 2), ("c", 3, 2), ("e", 1, 1), ("z", 1, 0)}
 
 
+def test_all_dependencies_are_reported(spark, con):
+    got = {tuple(r) for r in entry.queries()["report_dependencies_all"](spark, DIR).select("source_key", "target_key").collect()}
+    assert got == set(con.sql("select distinct l_orderkey, l_partkey from lineitem where l_orderkey in (select o_orderkey from orders) and l_partkey in (select p_partkey from part)").fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
