@@ -224,6 +224,13 @@ def dependency_resolution(spark, d):
     return resolve.dependencies(a, b)[0]
 
 
+@query("select o_orderkey as declared_id, l_partkey as resolved_id from orders join (select distinct l_orderkey, l_partkey from lineitem) on o_orderkey = l_orderkey")
+def dependency_resolution_all(spark, d):
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("Lines").alias("ecosystem"), F.col("o_orderkey").cast("string").alias("package"))
+    b = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.lit("lines").alias("ecosystem"), F.col("l_orderkey").cast("string").alias("package")).distinct()
+    return resolve.dependencies(a, b)[0]
+
+
 @query("select o_orderkey as declared_id from orders where o_orderkey not in (select l_orderkey from lineitem)")
 def dependency_unresolved(spark, d):
     a = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("lines").alias("ecosystem"), F.col("o_orderkey").cast("string").alias("package"))

@@ -67,5 +67,16 @@ def test_all_dependencies_are_reported(spark, con):
     assert got == set(con.sql("select distinct l_orderkey, l_partkey from lineitem where l_orderkey in (select o_orderkey from orders) and l_partkey in (select p_partkey from part)").fetchall())
 
 
+def test_all_declarations_are_resolved(spark):
+    from pyspark.sql import Row
+
+    d = "/root/testdata/sf0.01"
+    got = entry.queries()["dependency_resolution_all"](spark, d)
+    orders, lines = (spark.read.parquet(f"{d}/{x}.parquet") for x in ("orders", "lineitem"))
+    want = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("l_orderkey", "l_partkey").distinct()
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    assert got.agg({"declared_id": "max"}).first() == Row(want.agg({"l_orderkey": "max"}).first()[0]) and got.where("declared_id >= 2000").count() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
