@@ -43,8 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces, the scores of its best segmentations, and whether decoding gives its text back."""
-    return pieces.encoded(docs, "n_chars", "n_pieces", "pieces", "scores", "decodes")
+    """Each document's pieces, those of its next best segmentations, the scores of all of them, and whether decoding each gives its text back."""
+    return pieces.encoded(docs, "n_chars", "n_pieces", "pieces", "alternatives", "scores", "decodes")
 
 
 STAGES = [("language_id", language_id), ("simhash_near_dedup", near_dedup), ("suffix_array_dedup", substring_dedup), ("mixing", mix), ("sentencepiece", encode)]

@@ -239,15 +239,15 @@ def _a_star(chunk: str, path: str, n: int) -> list[tuple[float, tuple[int, ...]]
     return out
 
 
-def best_sums(lists: list[list[float]], n: int) -> list[float]:
-    """The n greatest sums of one value of each descending list, best first."""
+def best_picks(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n greatest sums of one value of each descending list, best first, each with the places of its values."""
     if not lists:
-        return [0.0]
+        return [(0.0, ())]
     total = sum(x[0] for x in lists)
     heap, seen, out = [(-total, (0,) * len(lists))], {(0,) * len(lists)}, []
     while heap and len(out) < n:
         score, at = heapq.heappop(heap)
-        out.append(-score)
+        out.append((-score, at))
         for k, x in enumerate(lists):
             if at[k] + 1 < len(x):
                 to = (*at[:k], at[k] + 1, *at[k + 1 :])
@@ -257,14 +257,24 @@ def best_sums(lists: list[list[float]], n: int) -> list[float]:
     return out
 
 
+def best_sums(lists: list[list[float]], n: int) -> list[float]:
+    """The sums of best_picks()."""
+    return [x for x, _ in best_picks(lists, n)]
+
+
 def encode(texts: list[str | None], path: str = MODEL, n_best: int = N_BEST) -> list[tuple[np.ndarray, list[float]]]:
     """Each text's best path's pieces, and the scores of its n best paths."""
+    return [(paths[0], scores) for paths, scores in segmentations(texts, path, n_best)]
+
+
+def segmentations(texts: list[str | None], path: str = MODEL, n_best: int = N_BEST) -> list[tuple[list[np.ndarray], list[float]]]:
+    """The pieces of each text's n best paths, best first, and their scores."""
     vocab = vocabulary(path)
     parts = [escaped(t or "") for t in texts]
     off = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
     cps = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     if not len(cps):
-        return [(np.zeros(0, np.int64), [0.0]) for _ in texts]
+        return [([np.zeros(0, np.int64)], [0.0]) for _ in texts]
     begin = chunk_starts(cps, off, vocab)
     end = np.append(begin[1:], len(cps))
     prefix = vocab.prefix(cps)
@@ -301,20 +311,43 @@ def encode(texts: list[str | None], path: str = MODEL, n_best: int = N_BEST) ->
     for i in range(len(texts)):
         a, z = text_chunk[i], text_chunk[i + 1]
         if a == z:
-            out.append((np.zeros(0, np.int64), [0.0]))
+            out.append(([np.zeros(0, np.int64)], [0.0]))
             continue
         near = own_loss[a:z]
         pick = np.argsort(near, kind="stable")[: n_best - 1] if z - a < 4 * n_best else _least(near, n_best - 1)
-        lists = []
-        for k in pick[np.isfinite(near[pick])].tolist():
+        chosen = sorted(pick[np.isfinite(near[pick])].tolist())
+        lists, ways = [], []
+        for k in chosen:
             c = a + k
             chunk = cps[begin[c] : end[c]].tobytes().decode("utf-32-le")
-            lists.append([x - own_top[c] for x, _ in a_star(chunk, path, n_best)])
+            found = a_star(chunk, path, n_best)
+            lists.append([x - own_top[c] for x, _ in found])
+            # of equal scores A* may put another path before Viterbi's, which every text begins with
+            best = ids[edges[c] : edges[c + 1]]
+            others = [w for w in (_written(p, chunk, vocab) for _, p in found) if not np.array_equal(w, best)]
+            ways.append([best, *others][: len(found)])
         score = float(own_top[a:z].sum())
-        out.append((ids[edges[a] : edges[z]], [score + x for x in best_sums(lists, n_best)]))
+        picks = best_picks(lists, n_best)
+        paths = []
+        for _, places in picks:
+            parts, at = [], edges[a]
+            for k, way, place in zip(chosen, ways, places):
+                if place:
+                    parts += [ids[at : edges[a + k]], way[place]]
+                    at = edges[a + k + 1]
+            paths.append(np.concatenate([*parts, ids[at : edges[z]]]) if parts else ids[at : edges[z]])
+        out.append((paths, [score + x for x, _ in picks]))
     return out
 
 
+def _written(path: tuple[int, ...], chunk: str, vocab: Vocabulary) -> np.ndarray:
+    """The pieces of a path of a_star(), with each unknown character as its byte pieces."""
+    out: list[int] = []
+    for p in path:
+        out += [p] if p >= 0 else [int(vocab.bytes[x]) for x in (chunk[-1 - p].replace(chr(LITERAL), "▁")).encode()]
+    return np.array(out, np.int64)
+
+
 def _least(x: np.ndarray, n: int) -> np.ndarray:
     k = np.argpartition(x, n)[: n + 1]
     return k[np.lexsort((k, x[k]))][:n]
@@ -347,11 +380,11 @@ def decode_bytes(ids: np.ndarray, path: str = MODEL) -> bytes:
     return b"".join(map(raw.__getitem__, ids.tolist()))[1:]
 
 
-KINDS = {"n_chars": (pa.int64(), "long"), "n_pieces": (pa.int64(), "long"), "pieces": (pa.list_(pa.int32()), "array<int>"), "pieces_sha256": (pa.string(), "string"), "n_paths": (pa.int32(), "int"), "best_score": (pa.float64(), "double"), "scores": (pa.list_(pa.float64()), "array<double>"), "decoded_sha256": (pa.string(), "string"), "decodes": (pa.bool_(), "boolean")}
+KINDS = {"n_chars": (pa.int64(), "long"), "n_pieces": (pa.int64(), "long"), "pieces": (pa.list_(pa.int32()), "array<int>"), "alternatives": (pa.list_(pa.list_(pa.int32())), "array<array<int>>"), "pieces_sha256": (pa.string(), "string"), "alternatives_sha256": (pa.list_(pa.string()), "array<string>"), "n_paths": (pa.int32(), "int"), "best_score": (pa.float64(), "double"), "scores": (pa.list_(pa.float64()), "array<double>"), "decoded_sha256": (pa.string(), "string"), "decodes": (pa.bool_(), "boolean")}
 
 
 def encoded(docs: DataFrame, *columns: str, path: str = MODEL, n_best: int = N_BEST) -> DataFrame:
-    """doc_id and the columns asked for (of KINDS) of every whole text; decodes: whether decoding gives the text back."""
+    """doc_id and the columns asked for (of KINDS) of every whole text; alternatives: the second to n-th best paths' pieces; decodes: whether decoding each of the n best paths gives the text back."""
     columns = columns or tuple(KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +392,8 @@ def encoded(docs: DataFrame, *columns: str, path: str = MODEL, n_best: int = N_B
             for b in steps(batch, "text"):
                 texts = b.column(1).to_pylist()
                 rows: dict[str, list] = {c: [] for c in columns}
-                for t, (ids, scores) in zip(texts, encode(texts, path, n_best)):
+                for t, (paths, scores) in zip(texts, segmentations(texts, path, n_best)):
+                    ids, rest = paths[0], paths[1:]
                     raw = (t or "").encode()
                     back = decode_bytes(ids, path) if "decodes" in rows or "decoded_sha256" in rows else b""
                     own = {"n_chars": len(t or ""), "n_pieces": len(ids), "n_paths": len(scores), "best_score": scores[0], "scores": scores}
@@ -367,12 +401,16 @@ def encoded(docs: DataFrame, *columns: str, path: str = MODEL, n_best: int = N_B
                         match c:
                             case "pieces":
                                 own[c] = ids.astype(np.int32)
+                            case "alternatives":
+                                own[c] = [p.astype(np.int32) for p in rest]
                             case "pieces_sha256":
                                 own[c] = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
+                            case "alternatives_sha256":
+                                own[c] = [hashlib.sha256(p.astype("<i4").tobytes()).hexdigest() for p in rest]
                             case "decoded_sha256":
                                 own[c] = hashlib.sha256(back).hexdigest()
                             case "decodes":
-                                own[c] = back == raw
+                                own[c] = back == raw and all(decode_bytes(p, path) == raw for p in rest)
                         rows[c].append(own[c])
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[c], KINDS[c][0]) for c in columns)], names=["doc_id", *columns])
 

@@ -33,7 +33,7 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encoded(table(spark, sf_dir, "documents"), "n_chars", "n_pieces", "pieces_sha256", "n_paths", "best_score", "scores", "decoded_sha256", "decodes")
+    return pieces.encoded(table(spark, sf_dir, "documents"), "n_chars", "n_pieces", "pieces_sha256", "alternatives_sha256", "n_paths", "best_score", "scores", "decoded_sha256", "decodes")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

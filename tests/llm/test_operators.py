@@ -308,6 +308,36 @@ def test_a_star_is_sorted_and_whole():
     assert pieces.best_sums([[3.0, 1.0], [2.0, 1.5, 0.0]], 4) == [5.0, 4.5, 3.0, 3.0]
 
 
+def path_score(ids, text):
+    """The score of a path, with runs of byte pieces as unknown characters."""
+    v = pieces.vocabulary(pieces.MODEL)
+    byte = set(v.bytes.tolist())
+    n_bytes = sum(len(v.raw[i]) for i in ids if i in byte)
+    s = "".join(map(chr, pieces.escaped(text)))
+    odd = [c for c in s if not v.single[ord(c)]]
+    assert n_bytes == sum(len(c.replace(chr(pieces.LITERAL), "▁").encode()) for c in odd)
+    return sum(float(v.score[i]) for i in ids if i not in byte) + v.low * len(odd)
+
+
+def test_every_segmentation_is_given():
+    texts = ["the quick brown fox", "Ouéaux  deux\n\nlignes", "日本 ▁ x", "a", " lead and trail ", "x" * 900, "zß" * 260 + " end", "tab\there", "unfathomable", "the the the the", "aaaa aaaa aaaa"]
+    for n in (1, 3, 6):
+        for t, (paths, scores) in zip(texts, pieces.segmentations(texts, n_best=n)):
+            want = brute_paths(t, n)
+            assert len(paths) == len(scores) == len({p.tobytes() for p in paths}) == len(want)
+            assert all(pieces.decode(p) == t for p in paths)
+            assert np.allclose([path_score(p.tolist(), t) for p in paths], want) and np.allclose(scores, want)
+
+
+def test_encoded_gives_all_segmentations(spark):
+    rows = pieces.encoded(make(spark, hard_texts())).collect()
+    for r in rows:
+        assert len(r["alternatives"]) == len(r["alternatives_sha256"]) == r["n_paths"] - 1
+        digests = [hashlib.sha256(np.array(p, "<i4").tobytes()).hexdigest() for p in [r["pieces"], *r["alternatives"]]]
+        assert digests == [r["pieces_sha256"], *r["alternatives_sha256"]] and len(set(digests)) == len(digests)
+    assert max(r["n_paths"] for r in rows) == 3
+
+
 def test_encoded(spark):
     got = pieces.encoded(make(spark, hard_texts())).collect()
     assert all(r["decodes"] for r in got) and len(got) == len(hard_texts())
