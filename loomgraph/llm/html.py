@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
@@ -60,6 +61,8 @@ def tokens(page: str) -> list[tuple[str, str, int, bool, bool, int]]:
     """(kind, value, words, in a link, in boilerplate, number of the enclosing article): kind is text, or tag or gap for inline and block tags."""
     out: list[tuple[str, str, int, bool, bool, int]] = []
     stack: list[tuple[str, bool]] = []
+    #: each tag name's places in the stack
+    places: defaultdict[str, list[int]] = defaultdict(list)
     at, end, boiler, links, article, articles = 0, len(page), 0, 0, 0, 0
     heading = frozenset(("p", "li", "td", "th", "tr", "dt", "dd", "option"))
     while at < end:
@@ -90,28 +93,29 @@ def tokens(page: str) -> list[tuple[str, str, int, bool, bool, int]]:
             # A paragraph or list item ends where the next one begins; only their boilerplate marks matter here.
             if tag in heading and stack and stack[-1][0] == tag:
                 boiler -= stack.pop()[1]
+                places[tag].pop()
             if (m[3] or "").endswith("/"):
                 continue
             bad = _boiler(tag, m[3] or "")
             # the header of the article itself holds its title, not the page's menu
             if bad and tag == "header" and article and not MARKS.search(m[3] or ""):
                 bad = False
+            places[tag].append(len(stack))
             stack.append((tag, bad))
             boiler += bad
             links += tag == "a"
             if tag in ("article", "main"):
                 articles += 1
                 article = articles
-        else:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                if stack[k][0] == tag:
-                    for name, bad in stack[k:]:
-                        boiler -= bad
-                        links -= name == "a"
-                    del stack[k:]
-                    if tag in ("article", "main") and not any(n in ("article", "main") for n, _ in stack):
-                        article = 0
-                    break
+        elif places[tag]:
+            k = places[tag][-1]
+            for name, bad in stack[k:]:
+                boiler -= bad
+                links -= name == "a"
+                places[name].pop()
+            del stack[k:]
+            if tag in ("article", "main") and not places["article"] and not places["main"]:
+                article = 0
     return out
 
 

@@ -262,6 +262,14 @@ def test_main_text_of_other_pages(spark):
     assert html.best_run([-1, 2, -1, 3, -9, 4]) == (1, 4) and html.best_run([-1.0]) == (0, 0)
 
 
+@pytest.mark.parametrize("inner", ["<p><b>menu entry", "<tr><td>menu entry", "<dt><dd>menu entry"])
+def test_main_text_after_many_open_elements(inner):
+    text = "one two three four five six seven eight nine ten " * 9
+    for n in (1, 19, 20, 400):
+        assert html.extract(f"<body><div class=menu>{inner * n}</div><p>{text}</body>") == text.strip()
+        assert html.extract(f"<body><article>{text}{'<p><b>more' * n}</article><div>{'after ' * 3}</div></body>") == f"{text}{'more ' * n}".strip()
+
+
 def test_top_k(spark):
     r = np.random.default_rng(0)
     rows = [(int(i), [float(x) for x in np.round(r.normal(size=6), 1)]) for i in range(400)]
