@@ -344,27 +344,52 @@ def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def similar_prints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_key, node (a digest of the set of distinct shingles), size of that set, f0, f1, ...: of every whole text."""
+    """doc_id, row_key, text_key, node (a digest of the set of distinct shingles), size of that set, f0, f1, ...: of every whole text."""
     names = [f"f{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in steps(batch, "text"):
-                h, begin = distinct_shingles(b.column(2))
+                h, begin = distinct_shingles(b.column(3))
                 f = _wide(h, begin, words).view(np.int64)
                 edges = begin.tolist()
                 node = np.array([xxhash.xxh64_intdigest(h[a:z].tobytes()) for a, z in zip(edges, edges[1:])], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(np.diff(begin)), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(words))], names=["doc_id", "text_key", "node", "size", *names])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(np.diff(begin)), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(words))], names=["doc_id", "row_key", "text_key", "node", "size", *names])
 
-    return mapped(docs.select("doc_id", text_key().alias("text_key"), "text"), run, "doc_id long, text_key long, node long, size long, " + ", ".join(f"{x} long" for x in names))
+    return mapped(docs.select("doc_id", row_key(docs).alias("row_key"), text_key().alias("text_key"), "text"), run, "doc_id long, row_key long, text_key long, node long, size long, " + ", ".join(f"{x} long" for x in names))
 
 
 def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A digest of the whole row; rows that share it are the same in every column."""
+    return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+
+
 def similar(docs: DataFrame, similarity: float = 0.8, words: int = 4) -> DataFrame:
-    """doc_id, component_id: documents linked whose sets of distinct five-word shingles have that Jaccard similarity or more.
+    """doc_id, component_id: the least doc_id of the documents that similar_rows() joins."""
+    marked = similar_rows(docs, similarity, words)
+    least = marked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return marked.join(least, "root").select("doc_id", "component_id")
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """One row of every component of similar_rows(): that of the least doc_id, null last; of rows that share it any one, the same at every run."""
+    rows = similar_rows(docs).groupBy("root", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
+    best = rows.groupBy("root").agg(F.min("place").alias("best"))
+    # rows that go, and rows that stay but once
+    odd = cut(rows.join(best, "root").select("row_key", (F.col("place") == F.col("best")).alias("stays"), "copies").where("not stays or copies > 1").select("row_key", "stays"))
+    keyed = docs.withColumn("row_key", row_key(docs))
+    plain = keyed.join(odd.select("row_key"), "row_key", "left_anti")
+    once = keyed.join(odd.where("stays").select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return plain.unionByName(once).select(*docs.columns)
+
+
+def similar_rows(docs: DataFrame, similarity: float = 0.8, words: int = 4) -> DataFrame:
+    """doc_id, row_key, root of every row: rows of one root are joined by links between texts whose sets of distinct five-word shingles have that Jaccard similarity or more.
 
     Candidates are all pairs of fingerprints within five standard deviations of the bits expected at that similarity, of
     sets whose sizes allow it; every component of candidates is then cut by the exact similarities of its sets.
@@ -377,7 +402,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 4) -> DataFra
     nodes = cut(prints.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), *(F.first(x).alias(x) for x in names)))
     most = nodes.agg(F.max("size")).first()[0]
     if most is None:
-        return prints.select("doc_id", F.col("doc_id").alias("component_id"))
+        return prints.select("doc_id", "row_key", F.col("node").alias("root"))
     bounds = size_bounds(t, most)
     band = F.array_size(F.filter(F.array(*(F.lit(int(x)) for x in bounds)), lambda x: x <= F.col("size"))) - 1
     nodes = nodes.withColumn("band", band.cast("int"))
@@ -427,6 +452,4 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 4) -> DataFra
     members = asked.join(texts, "text_key").select("root", "node", F.coalesce("text", F.lit("")).alias("text"))
     members = members.repartition(partitions_for(spark), "root").sortWithinPartitions("root", "node")
     exact = mapped(members, confirm, "node long, root long")
-    marked = cut(prints.select("doc_id", "node").join(exact, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
-    least = marked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return marked.join(least, "root").select("doc_id", "component_id")
+    return cut(prints.select("doc_id", "row_key", "node").join(exact, "node", "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root")))

@@ -164,6 +164,19 @@ def test_similar_is_exact(spark):
     assert got == dict(enumerate(root))
 
 
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    texts, ids = [a, a, a + " more", b, b, b, c, c, d, d + " more", d], [7, 7, 7, None, None, None, None, 3, 4, 4, 2]
+    docs = make(spark, texts, ids=ids).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, DIR).collect()]
+    assert len(got) == 4 and {(None, b), (3, c), (2, d)} < set(got) and (set(got) - {(None, b), (3, c), (2, d)} <= {(7, a), (7, a + " more")})
+    left = corpus_pipeline.substring_dedup(spark, corpus_pipeline.near_dedup(spark, docs, DIR), DIR)
+    assert sorted(r["text"] for r in left.collect()) == sorted(t for _, t in got)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), DIR).count() == 0
+
+
 def test_fingerprints(spark):
     texts = hard_texts()
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(make(spark, texts)).collect()}
