@@ -1,23 +1,24 @@
 """Main text of web pages by a maximum-scoring run of tokens.
 
-A page is a row of tokens: words, which score positive, and tags, which score negative; the contiguous run with the
-greatest sum, found in one scan, is the content region. Weights of words inside links, of words inside boilerplate
-elements and of tags are fitted by a grid search on the labelled pages in labelled_pages.py. A region whose ends fall
-inside the article is widened to the article's element when it covers most of it. Within the region, elements that are
-boilerplate by tag name, role or class are dropped whole.
-
-Edge cases: a null or empty html, or one with no text outside boilerplate, gives an empty text; tags cut off at the end
-of a page and unknown character references stay out or stay as they are; a page without any markup is all text.
+A page is a row of tokens, each with a score: a word's is the log-odds of being content, by a logistic regression on what
+encloses it (tag names, words of class, id and role, links, being hidden, being beside an article), between -1 and 1; a tag's is negative, by the
+share of its kind that lies outside the content. The contiguous run with the greatest sum, found in one scan, is the
+content region; within it, words whose enclosing elements score as no content (adverts, comments and the like among the
+article) are left out. All weights come from the labelled pages in labelled_pages.py; no tag or class name decides by rule.
+
+Edge cases: a null or empty html, or one whose words all score as no content, gives an empty text; a tag cut off at the
+page's end stays out; a tag whose quoted value never ends is taken to end at its first `>`, and so are those after it;
+unknown character references stay as they are; a page without any markup is all text. Time is linear in the page.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,94 +29,159 @@ from .common import mapped, steps
 OUT = "page_id long, url string, text string, n_chars long"
 #: Elements whose content is never text of the page; their content isn't markup either.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "object", "canvas", "math", "audio", "video")
-BOILER = frozenset(("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "label", "fieldset", "head"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark menus, notices, adverts, comments and the like.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|pagination|pager|toc|sidebar|side-bar|aside|complementary|widget|widgets|related|recommended|share|sharing|social|comment|comments|reply|replies|respond|disqus|"
-    r"header|masthead|banner|footer|foot|contentinfo|copyright|search|skip|toolbar|tags|author-bio|disclaimer)(?=$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+|/|\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: Elements that end where the next of their kind begins.
+SERIAL = frozenset(("li", "td", "th", "tr", "dt", "dd", "option"))
+#: Quotes count as the spec has it: after an equals sign only. Every repeat is possessive, so that a tag is read once.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+MAIN = re.compile(r"<(?:article|main)[\s>]", re.I)
+ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+", re.I)
+UNSEEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.I)
+RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
 SPACES = re.compile(r"\s+")
+#: A weight of one: weights are whole numbers, so that sums don't depend on their order.
+ONE = 1 << 10
+
+
+class Weights(NamedTuple):
+    base: int  # of a word that nothing encloses
+    link: int
+    around: dict[str, int]  # by what encloses a word
+    tags: dict[str, int]  # by tag, a closing one with a slash
+    other: int  # of a tag not seen
+    left_out: int  # of a word that scores as no content whatever links enclose it
+
+
+class Token(NamedTuple):
+    kind: str  # text, or tag or gap for inline and block tags
+    value: str
+    score: int
+    kept: bool
+    label: bool  # whether the labelled page's marks have it as content
+
 
+@lru_cache(1 << 16)
+def features(tag: str, attrs: str, inner: bool) -> tuple[str, ...]:
+    """What an element says of the words in it: its name, its words of class, id and role, and whether it is hidden."""
+    out = []
+    for m in ATTR.finditer(attrs) if attrs else ():
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in ("class", "id", "role"):
+            out += [f".{w}" for w in value.lower().split()]
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and UNSEEN.search(value):
+            out.append("hidden")
+    if tag not in INLINE and tag not in ("html", "body"):
+        out.append("<inner header" if inner and tag == "header" else f"<{tag} named" if out else f"<{tag}")
+    return tuple(dict.fromkeys(out))
 
-def _boiler(tag: str, attrs: str) -> bool:
-    if tag in BOILER:
-        return True
-    if tag in ("html", "body", "article", "main") or not attrs:
-        return False
-    for m in ATTR.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
-        key = m[1].lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key in ("class", "id", "role") and MARKS.search(value):
-            return True
-    return False
-
-
-def tokens(page: str) -> list[tuple[str, str, int, bool, bool, int]]:
-    """(kind, value, words, in a link, in boilerplate, number of the enclosing article): kind is text, or tag or gap for inline and block tags."""
-    out: list[tuple[str, str, int, bool, bool, int]] = []
-    stack: list[tuple[str, bool]] = []
+
+def tokens(page: str, w: Weights, around: list[tuple[str, ...]] | None = None) -> list[Token]:
+    """The page's tokens; `around`, if given, gets what encloses each text token."""
+    out: list[Token] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []
     #: each tag name's places in the stack
     places: defaultdict[str, list[int]] = defaultdict(list)
-    at, end, boiler, links, article, articles = 0, len(page), 0, 0, 0, 0
-    heading = frozenset(("p", "li", "td", "th", "tr", "dt", "dd", "option"))
+    open_: Counter[str] = Counter()
+    weight = w.around
+    at, end, links, total, label, plain = 0, len(page), 0, w.base, False, False
+    #: what it says of a word to be outside the articles of a page that has some
+    beside = weight.get("beside", 0) if MAIN.search(page) else None
+    total += beside or 0
+
+    def text(value: str) -> None:
+        if value.isspace():
+            out.append(Token("text", value, 0, total > 0, label))
+        else:
+            own = total + w.link if links else total
+            score = max(-ONE, min(ONE, own)) if total > 0 else max(w.left_out, own)
+            out.append(Token("text", value, len(value.split()) * score, total > 0, label))
+        if around is not None:
+            out_of_it = beside is not None and not places["article"] and not places["main"]
+            around.append((*(f for f, n in open_.items() if n), *["link"] * (links > 0), *["beside"] * out_of_it))
+
+    def pop(down_to: int) -> None:
+        nonlocal total, links
+        for name, own in stack[down_to:]:
+            places[name].pop()
+            links -= name == "a"
+            if beside and name in ("article", "main") and not places["article"] and not places["main"]:
+                total += beside
+            for f in own:
+                open_[f] -= 1
+                if not open_[f]:
+                    total -= weight.get(f, 0)
+        del stack[down_to:]
+
+    begin = 0
     while at < end:
-        m = TOKEN.search(page, at)
-        begin = m.start() if m else end
-        if begin > at:
-            text = page[at:begin]
-            out.append(("text", text, len(text.split()), links > 0, boiler > 0, article))
-        if not m:
+        at = page.find("<", at)
+        if at < 0:
             break
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text = m[0][9:].removesuffix("]]>")
-                out.append(("text", text, len(text.split()), links > 0, boiler > 0, article))
+        start, next_ = at, page[at + 1 : at + 2]
+        if next_ in ("!", "?"):
+            cdata = page.startswith("<![CDATA[", at)
+            stop, mark = (page.find("-->", at + 4), 3) if page.startswith("<!--", at) else (page.find("]]>", at), 3) if cdata else (page.find(">", at), 1)
+            to = stop if stop >= 0 else end
+            at = stop + mark if stop >= 0 else end
+            if start > begin:
+                text(page[begin:start])
+            if cdata and to > start + 9:
+                text(page[start + 9 : to])
+            elif page.startswith("<!--", start):
+                label = {"<!--[-->": True, "<!--]-->": False}.get(page[start:at], label)
+            begin = at
+            continue
+        m = None if plain else TAG.match(page, at)
+        if m is None:
+            m = NAME.match(page, at)
+            if m is None and next_ != "/":
+                at += 1
+                continue
+            stop = page.find(">", at)
+            if m is None and stop < 0:
+                at += 1
+                continue
+            at = stop + 1 if stop >= 0 else end
+            plain = plain or m is not None
+            attrs = page[m.end() : at - 1] if m is not None else ""
+        else:
+            at, attrs = m.end(), m[3]
+        if start > begin:
+            text(page[begin:start])
+        begin = at
+        if m is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        kind = "tag" if tag in INLINE else "gap"
+        name = f"/{tag}" if closing else tag
+        out.append(Token(kind, name, w.tags.get(name, w.other), False, label))
         if tag in RAW and not closing:
-            if not (m[3] or "").rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
+            if not attrs.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
                 stop = RAW_END[tag].search(page, at)
-                at = stop.end() if stop else end
-            out.append(("tag" if tag in INLINE else "gap", tag, 0, False, boiler > 0, article))
-            continue
-        out.append(("tag" if tag in INLINE else "gap", tag, 0, links > 0, boiler > 0, article))
-        if tag in VOID:
+                at = begin = stop.end() if stop else end
+        elif tag in VOID:
             continue
-        if not closing:
-            # A paragraph or list item ends where the next one begins; only their boilerplate marks matter here.
-            if tag in heading and stack and stack[-1][0] == tag:
-                boiler -= stack.pop()[1]
-                places[tag].pop()
-            if (m[3] or "").endswith("/"):
+        elif not closing:
+            if stack and (stack[-1][0] == tag and tag in SERIAL or stack[-1][0] == "p" and kind == "gap"):
+                pop(len(stack) - 1)
+            if attrs.endswith("/"):
                 continue
-            bad = _boiler(tag, m[3] or "")
-            # the header of the article itself holds its title, not the page's menu
-            if bad and tag == "header" and article and not MARKS.search(m[3] or ""):
-                bad = False
+            own = features(tag, attrs, bool(places["article"] or places["main"] or places["section"]))
+            if beside and tag in ("article", "main") and not places["article"] and not places["main"]:
+                total -= beside
             places[tag].append(len(stack))
-            stack.append((tag, bad))
-            boiler += bad
+            stack.append((tag, own))
             links += tag == "a"
-            if tag in ("article", "main"):
-                articles += 1
-                article = articles
+            for f in own:
+                if not open_[f]:
+                    total += weight.get(f, 0)
+                open_[f] += 1
         elif places[tag]:
-            k = places[tag][-1]
-            for name, bad in stack[k:]:
-                boiler -= bad
-                links -= name == "a"
-                places[name].pop()
-            del stack[k:]
-            if tag in ("article", "main") and not places["article"] and not places["main"]:
-                article = 0
+            pop(places[tag][-1])
+    if begin < end:
+        text(page[begin:])
     return out
 
 
@@ -131,46 +197,77 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return best_at
 
 
-def scored(toks: list[tuple], w: dict[str, float]) -> list[float]:
-    return [(t[2] * (w["boiler"] if t[4] else w["link"] if t[3] else w["word"])) if t[0] == "text" else w["inline"] if t[0] == "tag" else w["block"] for t in toks]
-
-
-def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
+def extract(page: str | None, weights: Weights | None = None) -> str:
     if not page:
         return ""
-    toks = tokens(page)
-    first, last = best_run(scored(toks, weights or fitted()))
-    # The region's article: when most of the region's words lie in one, that element is the region.
-    inside: dict[int, int] = {}
-    for t in toks[first:last]:
-        if t[0] == "text" and not t[4]:
-            inside[t[5]] = inside.get(t[5], 0) + t[2]
-    if inside:
-        best = max(inside, key=lambda k: (inside[k], -k))
-        if best and 2 * inside[best] > sum(inside.values()):
-            own = [i for i, t in enumerate(toks) if t[5] == best]
-            first, last = own[0], own[-1] + 1
-    parts = [(" " if t[0] == "gap" else "") if t[0] != "text" else t[1] for t in toks[first:last] if t[0] != "text" or not t[4]]
+    toks = tokens(page, weights or fitted())
+    first, last = best_run([t.score for t in toks])
+    parts = [t.value if t.kind == "text" else " " * (t.kind == "gap") for t in toks[first:last] if t.kind != "text" or t.kept]
     return SPACES.sub(" ", htmllib.unescape("".join(parts))).strip()
 
 
-GRID = {"word": (1.0,), "link": (-1.0, 0.0, 0.5), "boiler": (-4.0, -1.0), "inline": (-0.5, -0.1), "block": (-3.0, -1.0, -0.5)}
+def f1(a: str, b: str) -> float:
+    """F1 over words, repeats included."""
+    x, y = Counter(a.split()), Counter(b.split())
+    if not x or not y:
+        return float(x == y)
+    return 2 * sum((x & y).values()) / (x.total() + y.total())
+
+
+#: What tags, and words that are left out in any case, weigh against words of content: the best of these on the labelled pages.
+TAG_SCALES, LEFT_OUT = (0.0625, 0.125, 0.25, 0.5, 1.0), (0.03125, 0.125, 0.5, 1.0)
+
+
+def fit(pages: list[tuple[str, str]]) -> Weights:
+    """Weights from pages whose content stands between the comments <!--[--> and <!--]-->."""
+    none = Weights(0, 0, {}, {}, 0, 0)
+    rows, names = [], Counter()
+    outside: defaultdict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for page, _ in pages:
+        around: list[tuple[str, ...]] = []
+        toks = tokens(page, none, around)
+        texts = [t for t in toks if t.kind == "text"]
+        rows += [(a, t.label, len(t.value.split())) for a, t in zip(around, texts) if not t.value.isspace()]
+        within = [i for i, t in enumerate(toks) if t.label]
+        for i, t in enumerate(toks):
+            if t.kind != "text":
+                outside[t.value][0] += not within or not within[0] <= i <= within[-1]
+                outside[t.value][1] += 1
+    for a, _, _ in rows:
+        names.update(a)
+    known = sorted(f for f, n in names.items() if n >= 3)
+    place = {f: i for i, f in enumerate(known)}
+    x = np.zeros((len(rows), len(known) + 1))
+    x[:, -1] = 1
+    for i, (a, _, _) in enumerate(rows):
+        x[i, [place[f] for f in a if f in place]] = 1
+    y = np.array([float(r[1]) for r in rows])
+    n = np.sqrt([r[2] for r in rows])
+    # Newton's steps towards the greatest likelihood, with a ridge that holds rare features near zero
+    beta, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.3)
+    ridge[-1] = 1e-3
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        beta = beta + np.linalg.solve(hessian, x.T @ (n * (y - p)) - ridge * beta)
+    whole = np.round(beta * ONE).astype(int).tolist()
+    around_ = dict(zip(known, whole))
+    link = around_.pop("link", 0)
+
+    def made(scale: float, left_out: float) -> Weights:
+        tags = {t: min(-1, round(ONE * scale * float(np.log((b - a + 0.5) / (b + 1))))) for t, (a, b) in outside.items()}
+        return Weights(whole[-1], link, around_, tags, -round(ONE * scale / 2), -round(ONE * left_out))
+
+    good = lambda w: float(np.mean([f1(extract(page, w), text) for page, text in pages]))
+    scale = max(TAG_SCALES, key=lambda s: good(made(s, LEFT_OUT[0])))
+    return made(scale, max(LEFT_OUT, key=lambda x: good(made(scale, x))))
 
 
 @lru_cache(1)
-def fitted() -> dict[str, float]:
-    """The grid's weights of the best mean F1 over words on the labelled pages (ties: the first)."""
+def fitted() -> Weights:
     from .labelled_pages import PAGES
 
-    def f1(a: str, b: str) -> float:
-        x, y = a.split(), b.split()
-        if not x or not y:
-            return float(x == y)
-        both = sum(min(x.count(t), y.count(t)) for t in set(x))
-        return 2 * both / (len(x) + len(y))
-
-    grid = [dict(zip(GRID, v)) for v in product(*GRID.values())]
-    return max(grid, key=lambda w: np.mean([f1(extract(page, w), text) for page, text in PAGES]))
+    return fit(PAGES)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
