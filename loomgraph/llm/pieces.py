@@ -1,7 +1,7 @@
 """SentencePiece segmentation with n best paths, and decoding.
 
-No piece of a vocabulary spans a space that follows another character, or a character that no piece holds, so a text's
-lattice falls apart into chunks whose paths are independent. Forward Viterbi scores of all distinct chunks of a batch
+No piece spans a character that no piece holds, or (checked when a vocabulary is loaded) a space that follows another
+character, so a text's lattice falls apart into chunks whose paths are independent. Forward Viterbi scores of all distinct chunks of a batch
 are found together, column by column. The n best paths of a text differ from the best in the n - 1 chunks at most whose
 second path costs least; those chunks' own n best paths come from a backward A* search in which the forward scores are
 the exact heuristic, and a best-first search over them gives the text's.
@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+import re
+from bisect import insort
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +31,8 @@ from .nptext import U64, mix, powers
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL, UNKNOWN = 0x2581, 0x10FFFE, 10.0
 N_BEST = 3
-#: Chunks longer than this many characters are searched one by one.
-WIDE = 400
+#: Chunks longer than this many characters are searched one by one; ends looked up together there.
+WIDE, WINDOW = 400, 1 << 16
 
 
 class Vocabulary:
@@ -52,6 +54,8 @@ class Vocabulary:
                 self.raw[i] = piece.replace("▁", " ").encode()
         self.score = np.array([sp.get_score(i) for i in ids])
         self.longest = max(map(len, self.of))
+        #: whether spaces part a text: they don't with a vocabulary that has a piece with a space after another character
+        self.parted = not any(re.search("[^▁]▁", p) for p in self.of)
         self.low = min(self.score[list(self.of.values())].min(initial=0.0, where=self.score[list(self.of.values())] > -1e8), 0.0) - UNKNOWN
         self.single = np.zeros(0x110000, bool)
         self.single[[ord(p) for p in self.of if len(p) == 1]] = True
@@ -108,8 +112,9 @@ def escaped(text: str) -> np.ndarray:
 def chunk_starts(cps: np.ndarray, off: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """Where chunks begin: at each text, at a run of spaces, at and after each character that no piece holds."""
     begin = np.zeros(len(cps) + 1, bool)
-    mark = cps == SPACE
-    begin[1:-1] = mark[1:] & ~mark[:-1]
+    if vocab.parted:
+        mark = cps == SPACE
+        begin[1:-1] = mark[1:] & ~mark[:-1]
     odd = ~vocab.single[cps]
     begin[:-1] |= odd
     begin[1:] |= odd
@@ -172,39 +177,78 @@ def viterbi(cps: np.ndarray, start: np.ndarray, end: np.ndarray, vocab: Vocabula
     return top[rank], runner[rank], [flat, where, first[rank], count[rank]]
 
 
-def viterbi_long(cps: np.ndarray, start: np.ndarray, end: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """viterbi() for one very long chunk: pieces are looked up together by length, and the columns follow one by one."""
-    own = cps[start[0] : end[0]]
-    n, prefix = len(own), vocab.prefix(own)
-    pieces = [np.full(n, -1, np.int64)]
-    for size in range(1, min(vocab.longest, n) + 1):
-        found = np.full(n, -1, np.int64)
-        found[: n - size + 1] = vocab.find(vocab.hashes(prefix, np.arange(n - size + 1), size))
-        pieces.append(found)
-    ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-    for size in range(len(pieces) - 1, 0, -1):
-        for i in np.flatnonzero(pieces[size] >= 0).tolist():
-            piece = int(pieces[size][i])
-            ends[i + size].append((size, piece, float(vocab.score[piece])))
-    for i in np.flatnonzero(~vocab.single[own]).tolist():
-        ends[i + 1].append((1, -1, vocab.low))
-    best, second, via = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1), [(0, -1)] * (n + 1)
-    for j in range(1, n + 1):
-        a = b = -np.inf
-        for size, piece, score in ends[j]:
-            x, y = best[j - size] + score, second[j - size] + score
-            if x > a:
-                a, b, via[j] = x, max(a, b, y), (size, piece)
-            else:
-                b = max(b, x, y)
-        best[j], second[j] = a, b
-    flat, where, at = [], [], n
-    while at > 0:
-        size, piece = via[at]
-        flat.append(piece)
-        where.append(int(start[0]) + at - 1)
-        at -= size
-    return np.array(best[-1:]), np.array(second[-1:]), [np.array(flat[::-1]), np.array(where[::-1]), np.zeros(1, np.int64), np.array([len(flat)])]
+def long_paths(cps: np.ndarray, vocab: Vocabulary, n: int) -> list[tuple[float, np.ndarray]]:
+    """The n best paths of one very long chunk, in time and memory linear in it: (score, pieces).
+
+    Pieces are looked up by length in windows of ends, and kept as flat arrays; the forward scores follow one by one.
+    A character that no piece holds is a chunk of its own, so there is none here.
+    """
+    size, prefix = len(cps), vocab.prefix(cps)
+    first, widths, found = np.zeros(size + 2, np.int64), [], []
+    forward = [0.0]
+    score = vocab.score.tolist()
+    for low in range(1, size + 1, WINDOW):
+        end = np.arange(low, min(low + WINDOW, size + 1))
+        at, wide, piece = [], [], []
+        for k in range(min(vocab.longest, int(end[-1])), 0, -1):
+            own = end[end >= k]
+            p = vocab.find(vocab.hashes(prefix, own - k, k))
+            some = np.flatnonzero(p >= 0)
+            at.append(own[some])
+            wide.append(np.full(len(some), k, np.int32))
+            piece.append(p[some])
+        at, wide, piece = (np.concatenate(x) for x in (at, wide, piece))
+        order = np.argsort(at, kind="stable")
+        at, wide, piece = at[order], wide[order], piece[order]
+        count = np.bincount(at - low, minlength=len(end))
+        first[end + 1] = count
+        widths.append(wide)
+        found.append(piece.astype(np.int32))
+        ways = zip(wide.tolist(), piece.tolist())
+        for n_ways in count.tolist():
+            best = -np.inf
+            for _ in range(n_ways):
+                k, p = next(ways)
+                reach = forward[len(forward) - k] + score[p]
+                if reach > best:
+                    best = reach
+            forward.append(best)
+    first = np.cumsum(first)
+    width, pieces_ = np.concatenate(widths), np.concatenate(found)
+
+    def edges(at: int) -> list[tuple[int, int, float]]:
+        a, z = first[at], first[at + 1]
+        return [(k, p, score[p]) for k, p in zip(width[a:z].tolist(), pieces_[a:z].tolist())]
+
+    return [(x, np.array(p, np.int64)) for x, p in backward(size, edges, forward, n)]
+
+
+def backward(size: int, edges: Callable[[int], list[tuple[int, int, float]]], forward: list[float], n: int) -> list[tuple[float, list[int]]]:
+    """The n best paths by A* from the end of a lattice, best first; edges(at) ends there, the longest first.
+
+    A state is a suffix: what it has scored plus the best way to reach it from the front is exact, so every open state
+    stands for a path of just that score and no more than n have to be open. Of equal states the one further on goes first.
+    """
+    open_: list[tuple[float, int, int, float, tuple]] = [(-forward[size], size, 0, 0.0, ())]
+    out: list[tuple[float, list[int]]] = []
+    tick = 0
+    while open_ and len(out) < n:
+        _, at, _, done, tail = open_.pop(0)
+        if at == 0:
+            path = []
+            while tail:
+                path.append(tail[0])
+                tail = tail[1]
+            out.append((done, path))
+            continue
+        left = n - len(out)
+        for k, piece, score in edges(at):
+            key = -(done + score + forward[at - k])
+            if key < np.inf and (len(open_) < left or key <= open_[-1][0]):
+                tick += 1
+                insort(open_, (key, at - k, tick, done + score, (piece, tail)))
+                del open_[left:]
+    return out
 
 
 def a_star(chunk: str, path: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -224,19 +268,7 @@ def _a_star(chunk: str, path: str, n: int) -> list[tuple[float, tuple[int, ...]]
                 score = float(vocab.score[piece]) if piece >= 0 else vocab.low
                 ends[j].append((size, piece if piece >= 0 else -j, score))
                 forward[j] = max(forward[j], forward[j - size] + score)
-    # a state is a suffix; what it has scored plus the best way to reach it from the front is exact
-    heap: list[tuple[float, int, int, float, tuple[int, ...]]] = [(-forward[-1], 0, len(chunk), 0.0, ())]
-    out, tick = [], 0
-    while heap and len(out) < n:
-        _, _, at, done, tail = heapq.heappop(heap)
-        if at == 0:
-            out.append((done, tail))
-            continue
-        for size, piece, score in ends[at]:
-            if forward[at - size] > -np.inf:
-                tick += 1
-                heapq.heappush(heap, (-(done + score + forward[at - size]), tick, at - size, done + score, (piece, *tail)))
-    return out
+    return [(x, tuple(p)) for x, p in backward(len(chunk), ends.__getitem__, forward, n)]
 
 
 def best_picks(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -287,15 +319,20 @@ def segmentations(texts: list[str | None], path: str = MODEL, n_best: int = N_BE
     flats, firsts, counts = [], np.zeros(len(lead), np.int64), np.zeros(len(lead), np.int64)
     base = 0
     groups = [np.flatnonzero((sizes > lo) & (sizes <= hi)) for lo, hi in zip((0, 8, 16, 40, 100), (8, 16, 40, 100, WIDE))]
-    groups += [np.array([i]) for i in np.flatnonzero(sizes > WIDE)]
+    long = {int(i): long_paths(cps[s[i] : e[i]], vocab, max(2, n_best)) for i in np.flatnonzero(sizes > WIDE)}
     for g in groups:
         if not len(g):
             continue
-        top[g], runner[g], (flat, where, first, count) = (viterbi if sizes[g[0]] <= WIDE else viterbi_long)(cps, s[g], e[g], vocab)
+        top[g], runner[g], (flat, where, first, count) = viterbi(cps, s[g], e[g], vocab)
         # an unknown character: minus one minus its code point
         flats.append(np.where(flat < 0, -1 - cps[where].astype(np.int64), flat))
         firsts[g], counts[g] = base + first, count
         base += len(flat)
+    for i, found in long.items():
+        top[i], runner[i] = found[0][0], found[1][0] if len(found) > 1 else -np.inf
+        flats.append(found[0][1])
+        firsts[i], counts[i] = base, len(flats[-1])
+        base += len(flats[-1])
     flat = np.concatenate(flats)
     n = counts[kind]
     total = np.cumsum(n) - n
@@ -319,6 +356,10 @@ def segmentations(texts: list[str | None], path: str = MODEL, n_best: int = N_BE
         lists, ways = [], []
         for k in chosen:
             c = a + k
+            if found := long.get(int(kind[c])):
+                lists.append([x - own_top[c] for x, _ in found[:n_best]])
+                ways.append([p for _, p in found[:n_best]])
+                continue
             chunk = cps[begin[c] : end[c]].tobytes().decode("utf-32-le")
             found = a_star(chunk, path, n_best)
             lists.append([x - own_top[c] for x, _ in found])
