@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import mapped, packed, partitions_for, steps
 from .nptext import U64, prefix_hashes, shingles, span_hashes
 
-SHINGLE, ONE_IN = 5, 8
+SHINGLE, ONE_IN = 5, 4
 _LIMIT = U64((1 << 64) // ONE_IN - 1)
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
