@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut, shared_dir
 
-__all__ = ["cut", "mapped", "packed", "partitions_for", "shared_dir", "steps", "table"]
+__all__ = ["aside", "cut", "mapped", "packed", "partitions_for", "remove", "shared_dir", "steps", "table"]
 
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory whatever the Arrow batch holds.
 STEP_BYTES = 1 << 20
@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(df: DataFrame, *core: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df whose columns other than `core` have names that no operator uses, and what gives a result with all of df's columns their names back."""
+    columns = df.columns
+    plain = [c if c in core else f"__{i}__" for i, c in enumerate(columns)]
+    return df.toDF(*plain), lambda out: out.select(*plain).toDF(*columns)
+
+
 def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow(), in batches of few rows; a Python worker gives its free memory back to the system after each task."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,6 +51,13 @@ def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this package wrote, on whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, and each row's offset (one more than rows); a null is empty."""
     if isinstance(column, pa.ChunkedArray):

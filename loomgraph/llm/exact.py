@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mapped, packed, partitions_for, shared_dir, steps
+from .common import aside, cut, mapped, packed, partitions_for, remove, shared_dir, steps
 from .nptext import U64, powers, prefix_hashes, span_hashes
 
 LENGTH, PIECE = 400, 16
+#: A window starts up to length - length // 2 bytes before its anchor, and a piece's number has five bits.
+LONGEST = 1022
 _POS = U64((1 << 34) - 1)
 
 
@@ -153,8 +155,8 @@ def _classes(rows: DataFrame, group: str) -> DataFrame:
 
 def repeated(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
     """k, h, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (the text left, without bytes of cut characters) of the documents that lose bytes."""
-    if not 2 * PIECE <= length < 1024:
-        raise ValueError(f"length must be from {2 * PIECE} to 1023")
+    if not 2 * PIECE <= length <= LONGEST:
+        raise ValueError(f"length must be from {2 * PIECE} to {LONGEST}")
     spark = docs.sparkSession
     keyed = _keyed(docs).where(F.octet_length("text") >= length)
     parts = partitions_for(spark)
@@ -254,7 +256,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> Data
     lists = {"refs": refs.where("code % 2 = 0"), "dropped": dropped, "asked": asked.where("code % 2 = 1").withColumn("code", F.shiftright("code", 1)), "alone": alone}
     schema = "k long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts
     out = _over(some, lists, removal, schema, keep="all").where("n_removed > 0")
-    return out.dropDuplicates(["k", "h"])
+    # the bucketed copy of the texts goes once the texts left are written
+    done = cut(out.dropDuplicates(["k", "h"]))
+    spark.sql(f"drop table {name}")
+    remove(spark, path)
+    return done
 
 
 def _windows(blocks: Blocks, block: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -314,20 +320,20 @@ def _removed(b: pa.RecordBatch, state: tuple[Blocks, np.ndarray], length: int, t
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and text (what is left of it, without bytes of cut characters) of every document."""
     text = F.coalesce("text", F.lit(""))
-    whole = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.hash(text).cast("long").alias("h"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
-    lost = repeated(docs, length).drop("n_bytes")
+    whole = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.hash(text).cast("long").alias("h"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"), text.alias("text"))
+    lost = repeated(docs, length, texts=True).drop("n_bytes")
     out = whole.join(lost, ["k", "h"], "left")
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), F.coalesce("kept", "text").alias("text"))
 
 
 def without_repeats(docs: DataFrame, length: int) -> DataFrame:
     """docs with repeated passages taken out of their texts (and n_chars, where there is one, made to fit); documents of which nothing is left go."""
-    columns = docs.columns
+    docs, named = aside(docs, "doc_id", "text", "n_chars")
     lost = repeated(docs, length, texts=True).select("k", "h", "kept")
     text = F.coalesce("text", F.lit(""))
     out = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.hash(text).cast("long")).join(lost, ["k", "h"], "left")
     out = out.where(F.col("kept").isNull() | (F.trim("kept") != "")).withColumn("text", F.coalesce("kept", "text"))
-    return (out.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in columns else out).select(*columns)
+    return named(out.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.traverse import components
-from .common import cut, mapped, packed, partitions_for, steps
+from .common import aside, cut, mapped, packed, partitions_for, steps
 from .nptext import U64, bit_counts, majority, mix, shingles
 
 #: Shingle of the contract's fingerprint, bits that may differ, blocks that those are spread over.
@@ -377,6 +377,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 4) -> DataFra
 
 def one_each(docs: DataFrame) -> DataFrame:
     """One row of every component of similar_rows(): that of the least doc_id, null last; of rows that share it any one, the same at every run."""
+    docs, named = aside(docs, "doc_id", "text")
     rows = similar_rows(docs).groupBy("root", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     rows = rows.withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
     best = rows.groupBy("root").agg(F.min("place").alias("best"))
@@ -385,7 +386,7 @@ def one_each(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("row_key", row_key(docs))
     plain = keyed.join(odd.select("row_key"), "row_key", "left_anti")
     once = keyed.join(odd.where("stays").select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
-    return plain.unionByName(once).select(*docs.columns)
+    return named(plain.unionByName(once))
 
 
 def similar_rows(docs: DataFrame, similarity: float = 0.8, words: int = 4) -> DataFrame:

@@ -115,20 +115,26 @@ def section_tokens(docs: DataFrame, path: str = VOCABULARY, rule: str = "start")
 
 
 def field_tokens(table: DataFrame, fields: list[str], path: str = VOCABULARY, rule: str = "start") -> DataFrame:
-    """Each row's fields, joined by line feeds and encoded as one document: a count `tokens_<field>` for each; a line feed belongs to the field before it."""
+    """Each row's fields, joined by line feeds and encoded as one document: a count `tokens_<field>` for each, then the row's columns.
+
+    A line feed belongs to the field before it; a column that has a count's name already gives way to the count.
+    """
+    names = [f"tokens_{f}" for f in fields]
+    table = table.drop(*names)
+    size, joined = [f"__tokens_size_{k}__" for k in range(len(fields))], "__tokens_text__"
     known = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in steps(batch, "__text"):
+            for b in steps(batch, joined):
                 sizes = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(fields))], axis=1)
                 sizes[:, :-1] += 1
                 _, off = packed(b.column(len(fields)))
                 cuts = (off[:-1, None] + np.cumsum(sizes, axis=1) - sizes).ravel()
                 first = np.arange(b.num_rows + 1) * len(fields)
                 n = attribute(b.column(len(fields)), cuts, first, path, rule)["n"].reshape(-1, len(fields))
-                yield pa.RecordBatch.from_arrays([pa.array(n[:, k].astype(np.int64)) for k in range(len(fields))] + b.columns[len(fields) + 1 :], names=[f"tokens_{f}" for f in fields] + b.schema.names[len(fields) + 1 :])
+                yield pa.RecordBatch.from_arrays([pa.array(n[:, k].astype(np.int64)) for k in range(len(fields))] + b.columns[len(fields) + 1 :], names=names + b.schema.names[len(fields) + 1 :])
 
-    given = table.select(*(F.octet_length(k).alias(f"__{i}") for i, k in enumerate(known)), F.concat_ws("\n", *known).alias("__text"), *table.columns)
+    given = table.select(*(F.octet_length(k).alias(s) for s, k in zip(size, known)), F.concat_ws("\n", *known).alias(joined), *table.columns)
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
-    return mapped(given, run, ", ".join(f"`tokens_{f}` long" for f in fields) + ", " + rest)
+    return mapped(given, run, ", ".join(f"`{n}` long" for n in names) + ", " + rest)
