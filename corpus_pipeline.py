@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import exact, language, mixing, pieces, simhash
-from loomgraph.llm.common import aside, shared_dir
+from loomgraph.llm.common import aside, gone_at_exit, remove, shared_dir
 
 #: The least part of a text's n-grams that its language's filter must know, and characters below which that says nothing; bytes of a repeated passage (50 words).
 COVERAGE, SHORT, PASSAGE = 0.1, 20, 200
@@ -62,7 +62,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
+    gone_at_exit(spark, base)
+    for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if k:
+            remove(spark, f"{base}/{STAGES[k - 1][0]}")
     return docs

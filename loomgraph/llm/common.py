@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut, shared_dir
 
-__all__ = ["aside", "cut", "mapped", "packed", "partitions_for", "remove", "shared_dir", "steps", "table"]
+__all__ = ["aside", "cut", "gone_at_exit", "mapped", "packed", "partitions_for", "remove", "shared_dir", "steps", "table"]
 
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory whatever the Arrow batch holds.
 STEP_BYTES = 1 << 20
@@ -58,6 +58,12 @@ def remove(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder that a lazy result still reads deleted when the session ends."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+
+
 def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, and each row's offset (one more than rows); a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, cut, mapped, packed, partitions_for, remove, shared_dir, steps
+from .common import aside, cut, gone_at_exit, mapped, packed, partitions_for, shared_dir, steps
 from .nptext import U64, powers, prefix_hashes, span_hashes
 
 LENGTH, PIECE = 400, 16
@@ -101,9 +101,10 @@ def _row(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """k, h, text: k is doc_id (null: the least long); h tells documents apart that share it."""
+    """docs with k, h, text: k is doc_id (null: the least long); h tells documents apart that share it; and whether the text was null."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.hash(text).cast("long").alias("h"), text.alias("text"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.hash(text).cast("long").alias("h"), text.alias("text"), F.col("text").isNull().alias("none"), "doc_id", *rest)
 
 
 def _lists(refs: DataFrame) -> DataFrame:
@@ -111,13 +112,11 @@ def _lists(refs: DataFrame) -> DataFrame:
     return refs.groupBy("k", "h").agg(F.collect_list("code").alias("codes"))
 
 
-def _over(docs: DataFrame, lists: dict[str, DataFrame], make: Callable, schema: str, keep: str = "inner") -> DataFrame:
-    """make(batches) over the documents with their lists; docs is bucketed by (k, h), so only the lists move."""
+def _over(docs: DataFrame, lists: dict[str, DataFrame], make: Callable, schema: str) -> DataFrame:
+    """make(batches) over the documents that have lists; docs is bucketed by (k, h), so only the lists move."""
     for name, codes in lists.items():
         docs = docs.join(_lists(codes).withColumnRenamed("codes", name), ["k", "h"], "left")
-    if keep == "inner":
-        docs = docs.where(" or ".join(f"{n} is not null" for n in lists))
-    return mapped(docs, make, schema)
+    return mapped(docs.where(" or ".join(f"{n} is not null" for n in lists)), make, schema)
 
 
 def _codes(column: pa.Array, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,12 +152,18 @@ def _classes(rows: DataFrame, group: str) -> DataFrame:
     return kinds.join(kinds.groupBy(group).agg(F.count(F.lit(1)).alias("kinds")), group)
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
-    """k, h, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (the text left, without bytes of cut characters) of the documents that lose bytes."""
+def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_sha256, kept of every row: kept is the text left, without bytes of cut characters (of a null text, null).
+
+    The texts are shuffled once, into a bucketed copy that every later step reads, the result too; it goes when the
+    session ends. Columns of docs other than doc_id and text have names of aside().
+    """
     if not 2 * PIECE <= length <= LONGEST:
         raise ValueError(f"length must be from {2 * PIECE} to {LONGEST}")
     spark = docs.sparkSession
-    keyed = _keyed(docs).where(F.octet_length("text") >= length)
+    everything = _keyed(docs)
+    rest = everything.columns[3:]
+    keyed = everything.where(F.octet_length("text") >= length).select("k", "h", "text")
     parts = partitions_for(spark)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,26 +171,25 @@ def repeated(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> Data
             for b in steps(batch, "text"):
                 blocks = Blocks(b.column(2), length)
                 k, h = (b.column(i).to_numpy(zero_copy_only=False)[blocks.row] for i in (0, 1))
-                yield _row({"gram": blocks.hashes(blocks.anchor, blocks.anchor + blocks.k), "k": k, "tag": (h & 0xFFFFFFFF) << 32 | blocks.number})
+                yield _row({"gram": blocks.hashes(blocks.anchor, blocks.anchor + blocks.k), "k": k, "tag": (h & 0xFFFFFFFF) << 32 | blocks.number, "blocks": np.bincount(blocks.row, minlength=b.num_rows)[blocks.row]})
 
-    grams = mapped(keyed, anchors, "gram long, k long, tag long")
-    single = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min("tag").alias("tag")).where("n = 1")
+    grams = mapped(keyed, anchors, "gram long, k long, tag long, blocks long")
+    single = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min("tag").alias("tag"), F.min("blocks").alias("blocks")).where("n = 1")
     # the tag's upper half is h again, sign and all
-    single = single.select("k", F.shiftright("tag", 32).alias("h"), F.col("tag").bitwiseAND(0xFFFFFFFF).alias("code"))
-
-    def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in steps(batch, "text"):
-                blocks = Blocks(b.column(2), length)
-                total = np.bincount(blocks.row, minlength=b.num_rows)
-                dead = b.column(3).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                yield b.filter(pa.array(total > dead))
+    single = single.select("k", F.shiftright("tag", 32).alias("h"), F.col("tag").bitwiseAND(0xFFFFFFFF).alias("code"), "blocks")
 
     name = f"llm_exact_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    joined = keyed.join(_lists(single).withColumnRenamed("codes", "dead"), ["k", "h"], "left")
-    mapped(joined, live, "k long, h long, text string, dead array<long>").write.bucketBy(parts, "k", "h").option("path", path).saveAsTable(name)
-    some = spark.table(name)
+    # a document is live while it holds a block whose anchor's string occurs again
+    dead = single.groupBy("k", "h").agg(F.collect_list("code").alias("dead"), F.max("blocks").alias("blocks"))
+    live = (F.octet_length("text") >= length) & F.coalesce(F.size("dead") < F.col("blocks"), F.lit(True))
+    joined = everything.join(dead, ["k", "h"], "left")
+    joined.select("k", "h", "text", "dead", *rest, live.alias("live")).write.bucketBy(parts, "k", "h").option("path", path).saveAsTable(name)
+    whole = spark.table(name)
+    # the plan has found its files; the catalog needs no entry, and the files go with the session
+    spark.sql(f"drop table {name}")
+    gone_at_exit(spark, path)
+    some = whole.where("live").select("k", "h", "text", "dead")
 
     def alive(b: pa.RecordBatch) -> tuple[Blocks, np.ndarray]:
         blocks = Blocks(b.column(2), length)
@@ -251,16 +255,19 @@ def repeated(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> Data
     def removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in steps(batch, "text"):
-                yield _removed(b, alive(b), length, texts)
+                yield _removed(b, alive(b), length)
 
     lists = {"refs": refs.where("code % 2 = 0"), "dropped": dropped, "asked": asked.where("code % 2 = 1").withColumn("code", F.shiftright("code", 1)), "alone": alone}
-    schema = "k long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts
-    out = _over(some, lists, removal, schema, keep="all").where("n_removed > 0")
-    # the bucketed copy of the texts goes once the texts left are written
-    done = cut(out.dropDuplicates(["k", "h"]))
-    spark.sql(f"drop table {name}")
-    remove(spark, path)
-    return done
+    lively = whole.where("live").select("k", "h", "text", "dead", *rest)
+    for list_, codes in lists.items():
+        lively = lively.join(_lists(codes).withColumnRenamed("codes", list_), ["k", "h"], "left")
+    lively = lively.select("k", "h", "text", "dead", *lists, *rest)
+    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lively.schema.fields[8:])
+    done = mapped(lively, removal, f"{others}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    zero = F.lit(0).cast("long")
+    plain = whole.where("not live").select(*rest, F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").alias("kept"))
+    out = done.unionByName(plain)
+    return out.withColumn("kept", F.when(~F.col("none"), F.col("kept"))).drop("none")
 
 
 def _windows(blocks: Blocks, block: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +285,7 @@ def _fill(at: np.ndarray, start: np.ndarray, end: np.ndarray, by: int) -> None:
     np.add.at(at, end, -by)
 
 
-def _removed(b: pa.RecordBatch, state: tuple[Blocks, np.ndarray], length: int, texts: bool) -> pa.RecordBatch:
+def _removed(b: pa.RecordBatch, state: tuple[Blocks, np.ndarray], length: int) -> pa.RecordBatch:
     blocks, on = state
     n = len(blocks.data)
     head = np.searchsorted(blocks.row, np.arange(b.num_rows))
@@ -312,28 +319,25 @@ def _removed(b: pa.RecordBatch, state: tuple[Blocks, np.ndarray], length: int, t
         data = blocks.data[blocks.off[i] : blocks.off[i + 1]]
         kept = data[~own].tobytes()
         spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if len(own) else 0
-        for column, value in zip(out, (len(own), int(own.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if texts else None)):
+        for column, value in zip(out, (len(own), int(own.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore"))):
             column.append(value)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    cols = [b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(out, kinds))][: 6 + texts]
-    return pa.RecordBatch.from_arrays(cols, names=["k", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 + texts])
+    cols = [*b.columns[8:], *(pa.array(c, t) for c, t in zip(out, kinds))]
+    return pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[8:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and text (what is left of it, without bytes of cut characters) of every document."""
-    text = F.coalesce("text", F.lit(""))
-    whole = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.hash(text).cast("long").alias("h"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"), text.alias("text"))
-    lost = repeated(docs, length, texts=True).drop("n_bytes")
-    out = whole.join(lost, ["k", "h"], "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), F.coalesce("kept", "text").alias("text"))
+    done = cleaned(docs.select("doc_id", "text"), length)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("kept", F.lit("")).alias("text"))
 
 
 def without_repeats(docs: DataFrame, length: int) -> DataFrame:
     """docs with repeated passages taken out of their texts (and n_chars, where there is one, made to fit); documents of which nothing is left go."""
     docs, named = aside(docs, "doc_id", "text", "n_chars")
-    lost = repeated(docs, length, texts=True).select("k", "h", "kept")
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.hash(text).cast("long")).join(lost, ["k", "h"], "left")
-    out = out.where(F.col("kept").isNull() | (F.trim("kept") != "")).withColumn("text", F.coalesce("kept", "text"))
-    return named(out.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out)
+    own = "n_chars" in docs.columns
+    # n_chars is put aside too, for the columns that come in with it
+    done = cleaned(docs.withColumnRenamed("n_chars", "__chars__"), length)
+    lost = F.col("n_removed") > 0
+    out = done.where(~lost | (F.trim("kept") != "")).withColumnRenamed("kept", "text")
+    return named(out.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("__chars__"))) if own else out)
