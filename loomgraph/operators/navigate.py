@@ -119,13 +119,14 @@ def incoming_externals(nodes: DataFrame, edges: DataFrame, target: str, limit: i
     return ids.join(nodes, F.col("source_id") == F.col("id")).select(*nodes.columns)
 
 
-def rename_lineage(changes: DataFrame, start: str, max_steps: int = 64) -> list[tuple[str, int, str, str]]:
-    """(path, epoch, commit, previous path) newest first, following renames back from a path.
+def rename_lineage(changes: DataFrame, start: str) -> list[tuple[str, int, str, str]]:
+    """(path, epoch, commit, previous path) newest first, following all renames back from a path.
 
-    changes: path, previous_path, epoch, commit_id. One bounded lookup a rename, on the rows of one path at a time.
+    changes: path, previous_path, epoch, commit_id. One lookup a rename, on the rows of one path at a time; every rename
+    lies before the one that led to it, so the chain ends.
     """
     out, cursor, before = [], start, None
-    for _ in range(max_steps):
+    while True:
         own = changes.where(F.col("path") == cursor)
         if before is not None:
             own = own.where(F.struct(-F.col("epoch"), F.col("commit_id")) > F.struct(F.lit(-before[0]).cast("long"), F.lit(before[1])))

@@ -80,6 +80,16 @@ def precise_merge(base: DataFrame, extra: DataFrame) -> tuple[DataFrame, DataFra
     return base.unionByName(extra.join(base.select("id"), "id", "left_anti")), changed(base, extra)
 
 
+def merged(base_nodes: DataFrame, base_edges: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, omitted): a precise graph's rows added to a base. Ids whose rows differ keep the base's; edges without both ends go; both are noted."""
+    all_nodes, twice = precise_merge(base_nodes, nodes)
+    all_edges, again = precise_merge(base_edges, edges)
+    lost = dangling(all_nodes, all_edges)
+    note = lambda df, reason, c: df.select(F.lit(reason).alias("reason"), F.col(c).alias("item_id"), F.lit("{}").alias("details"))
+    omitted = note(twice.unionByName(again), "precise_merge_collision", "id").unionByName(note(lost.select("edge_id").distinct(), "precise_merge_referential_gap", "edge_id"))
+    return all_nodes, all_edges.join(lost.select(F.col("edge_id").alias("id")), "id", "left_anti"), omitted
+
+
 def evidence_state(refs: DataFrame, nodes: DataFrame, manifest: DataFrame) -> DataFrame:
     """refs (ref_uri, node_id, content_hash, stale) with `state`: missing, changed, stale or fresh, in that precedence."""
     at = nodes.select(F.col("id").alias("node_id"), F.col("path").alias("node_path"), F.lit(True).alias("there"))

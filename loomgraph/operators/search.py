@@ -8,12 +8,14 @@ from base64 import urlsafe_b64decode, urlsafe_b64encode
 from dataclasses import dataclass, field, replace
 from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import haystack, snippet, tokens
 from ..schema import CURSOR_VERSION, GraphError
 
+#: Hits up to which a page is found and counted in one pass over the nodes, its rows held by the driver.
+ONE_PASS = 10_000
 PARTS = {"requested_node_id": 1000.0, "exact_id": 900.0, "exact_path": 700.0, "exact_label": 500.0, "substring": 50.0}
 
 
@@ -105,10 +107,16 @@ def search(nodes: DataFrame, request: Request | str, edges: DataFrame | None = N
     if r.max_examined is not None and (examined := nodes.count()) > r.max_examined:
         why = [{"reason": "work_budget_exhausted", "item_id": "query", "details": {"candidates": examined, "max_examined": r.max_examined}}]
         return Result(hits.limit(0), why, {"work_budget_exhausted": True, "examined_count": examined})
-    total = hits.count()
+    if offset + r.max_results <= ONE_PASS:
+        # hits are counted while the best of them are found
+        seen = Observation()
+        rows = hits.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order()).limit(offset + r.max_results).collect()
+        total, out = seen.get["n"], hits.sparkSession.createDataFrame(rows[offset:], hits.schema)
+    else:
+        total, out = hits.count(), page(hits, offset, r.max_results)
     if offset > total:
         raise GraphError("QUERY_CURSOR_OUT_OF_RANGE", "the cursor lies beyond the results", offset=offset, candidate_count=total)
-    out, to = page(hits, offset, r.max_results), min(total, offset + r.max_results)
+    to = min(total, offset + r.max_results)
     if edges is not None and r.include_edges:
         out = with_edges(out, edges)
     left = total - to

@@ -11,20 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
-from .search import incident
 
 Kinds = tuple[str, ...]
 
 
-def _undirected(edges: DataFrame, kinds: Kinds) -> DataFrame:
+#: Ids that a side may have to be sent to every task; beyond it both sides are shuffled by id.
+SMALL = 200_000
+
+
+def _links(edges: DataFrame, kinds: Kinds, rounds: int) -> DataFrame:
+    """id, source_id, target_id of the edges of some kinds; written once where several rounds read them."""
     edges = edges.where(F.col("kind").isin(*kinds)) if kinds else edges
-    both = incident(edges.select("id", "source_id", "target_id"))
-    return both.select("node_id", F.col("id").alias("edge_id"), F.when(F.col("source_id") == F.col("node_id"), F.col("target_id")).otherwise(F.col("source_id")).alias("other"))
+    edges = edges.select("id", "source_id", "target_id")
+    return cut(edges) if rounds > 1 else edges
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SMALL else df
 
 
-def _step(links: DataFrame, frontier: DataFrame, visited: DataFrame) -> DataFrame:
-    reached = links.join(frontier.select("node_id", "way"), "node_id").groupBy(F.col("other").alias("node_id")).agg(F.min(F.concat("way", F.array("edge_id"))).alias("way"))
-    return reached.join(visited.select("node_id"), "node_id", "left_anti")
+def _step(links: DataFrame, frontier: DataFrame, n: int, visited: DataFrame, seen: int) -> DataFrame:
+    """Nodes first reached by one more edge, with their way; the edges stay where they lie while the frontier is small."""
+    from_ = _sized(frontier.select("node_id", "way"), n)
+    out = links.join(from_, F.col("source_id") == F.col("node_id")).select(F.col("target_id").alias("other"), "way", "id")
+    back = links.where("source_id <> target_id").join(from_, F.col("target_id") == F.col("node_id")).select(F.col("source_id").alias("other"), "way", "id")
+    reached = out.unionByName(back).groupBy(F.col("other").alias("node_id")).agg(F.min(F.concat("way", F.array("id"))).alias("way"))
+    return reached.join(_sized(visited.select("node_id"), seen), "node_id", "left_anti")
 
 
 def _start(links: DataFrame, node_id: str) -> DataFrame:
@@ -36,16 +48,20 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int =
 
     A node of another kind than asked for, or that has no row, counts as visited and isn't gone on from.
     """
-    links = _undirected(edges, edge_kinds)
+    links = _links(edges, edge_kinds, depth)
     visited = frontier = _start(links, node_id)
-    found = None
+    kept = (nodes.where(F.col("kind").isin(*node_kinds)) if node_kinds else nodes).select(F.col("id").alias("node_id"))
+    found, n, seen = None, 1, 1
     for d in range(1, depth + 1):
-        reached = cut(_step(links, frontier, visited))
-        visited = visited.unionByName(reached)
-        kept = nodes.where(F.col("kind").isin(*node_kinds)) if node_kinds else nodes
-        frontier = reached.join(kept.select(F.col("id").alias("node_id")), "node_id", "left_semi").withColumn("depth", F.lit(d))
+        reached = cut(_step(links, frontier, n, visited, seen))
+        new = reached.count()
+        visited, seen = visited.unionByName(reached), seen + new
+        # the few that were reached go to the nodes, not the nodes to them
+        real = kept.join(_sized(reached.select("node_id"), new), "node_id", "left_semi")
+        frontier = cut(reached.join(_sized(real, new), "node_id", "left_semi").withColumn("depth", F.lit(d)))
+        n = frontier.count()
         found = frontier if found is None else found.unionByName(frontier)
-        if d < depth and reached.isEmpty():
+        if not n:
             break
     if found is None:
         found = visited.withColumn("depth", F.lit(0)).limit(0)
@@ -53,22 +69,24 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int =
     # max_results rows: one window over them is no bottleneck
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("depth", "way"))
     top = top.withColumn("place", place).withColumn("score", F.greatest(F.lit(1.0), (max_results - F.col("place") + 1).cast("double")))
-    return top.join(nodes, F.col("node_id") == F.col("id")).select("id", "kind", "label", "path", "depth", "way", "place", "score")
+    return _sized(top, max_results).join(nodes, F.col("node_id") == F.col("id")).select("id", "kind", "label", "path", "depth", "way", "place", "score")
 
 
 def path(edges: DataFrame, source_id: str, target_id: str, max_hops: int = 4, edge_kinds: Kinds = ()) -> list[str] | None:
     """Edge ids of the first shortest path; [] from a node to itself, None if there is none within max_hops."""
     if source_id == target_id:
         return []
-    links = _undirected(edges, edge_kinds)
+    links = _links(edges, edge_kinds, max_hops)
     visited = frontier = _start(links, source_id)
+    n = seen = 1
     for _ in range(max_hops):
-        frontier = cut(_step(links, frontier, visited))
+        frontier = cut(_step(links, frontier, n, visited, seen))
         if hit := frontier.where(F.col("node_id") == target_id).first():
             return hit["way"]
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             return None
-        visited = visited.unionByName(frontier)
+        visited, seen = visited.unionByName(frontier), seen + n
     return None
 
 

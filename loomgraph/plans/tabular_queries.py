@@ -102,10 +102,16 @@ def token_document_frequency(spark, d):
 # --- sources and predicates ---
 
 
-@query("select doc_id, case when n_chars > 20000 then 'max_file_size' when source like 'src1%' then 'excluded' when text not like '%the%' then 'not_included' end as reason from documents")
+@query("""select doc_id, case when lang = 'es' then 'ignored_name' when doc_id % 13 = 0 then 'outside_root' when doc_id % 11 = 0 then 'symlink_skipped'
+when not (doc_id % 3 = 0 or source like 'src1%') then 'not_included' when doc_id % 3 = 0 and doc_id % 10 = 7 then 'excluded' when source = 'src3' then 'gitignored' when n_chars > 2000 then 'max_file_size' end as reason from documents""")
 def scope_filter(spark, d):
+    from ..sources.files import Scope, scoped
+
     t = table(spark, d, "documents")
-    return t.select("doc_id", F.when(F.col("n_chars") > 20000, "max_file_size").when(F.col("source").startswith("src1"), "excluded").when(~F.contains("text", F.lit("the")), "not_included").alias("reason"))
+    name = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt")))
+    entries = t.select("doc_id", name.alias("path"), F.lit(False).alias("is_dir"), (F.col("doc_id") % 11 == 0).alias("is_symlink"), (F.col("doc_id") % 13 != 0).alias("inside"), F.col("n_chars").alias("size"))
+    rules = Scope(ignored=("es",), include=("*.md", "src1*"), exclude=("*7.md",), max_bytes=2000, patterns=("src3",))
+    return scoped(entries, rules).select("doc_id", "reason")
 
 
 LINKS = "hrefs as (select page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) as h from pages), links as (select page_id, unnest(range(len(h))) as position, unnest(h) as target from hrefs)"
@@ -128,24 +134,31 @@ def slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", fn.slug("p_name").alias("slug"), fn.one_line("p_type").alias("one_line"))
 
 
-@query("select doc_id, sha256(text) as content_hash, strlen(text)::bigint as size_bytes from documents")
+@query("select 'doc/' || doc_id || '.md' as path, sha256(text) as content_hash, 'markdown' as parser, '1' as parser_version, strlen(text)::bigint as size_bytes, 'markdown' as file_kind from documents")
 def manifest_scan(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"))
+    from ..sources.files import manifest_of
+
+    t = table(spark, d, "documents")
+    return manifest_of(t.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").cast("binary").alias("content")))
 
 
-@query("select i as node, 'src/file-' || (i // 100) || '.py' as path, case when i + 1 < 10000 then i + 1 else -1 end as next from range(10000) t(i)")
+@query("""select 'node' as what, 'node:' || i as id, 'src/file-' || (i // 100) || '.py' as path, '' as ends from range(10000) t(i)
+union all select 'edge', 'edge:' || i, '', 'node:' || i || '>node:' || (i + 1) from range(9999) t(i)""")
 def scale_chain(spark, d):
-    i = F.col("id")
-    return spark.range(10000).select(i.alias("node"), F.concat(F.lit("src/file-"), F.floor(i / 100).cast("string"), F.lit(".py")).alias("path"), F.when(i + 1 < 10000, i + 1).otherwise(-1).alias("next"))
+    from ..viewer import chain
+
+    s = chain(spark, 10_000)
+    edges = s.edges.select(F.lit("edge").alias("what"), "id", F.lit("").alias("path"), F.concat_ws(">", "source_id", "target_id").alias("ends"))
+    return s.nodes.select(F.lit("node").alias("what"), "id", "path", F.lit("").alias("ends")).unionByName(edges)
 
 
 # --- joins and navigation ---
 
 
-@query(f"with {E} select id, kind, source_id, target_id from edges where source_id in ('nation:3', 'customer:7') or target_id in ('nation:3', 'customer:7')")
+@query(f"""with {E}, i as (select source_id as node_id, id, kind from edges union all select target_id, id, kind from edges where source_id <> target_id)
+select node_id, id, kind from i where node_id in ('nation:3', 'customer:7')""")
 def incident_edges(spark, d):
-    ids = ("nation:3", "customer:7")
-    return tabular.edges(spark, d).where(F.col("source_id").isin(*ids) | F.col("target_id").isin(*ids)).select("id", "kind", "source_id", "target_id")
+    return search.incident(tabular.edges(spark, d)).where(F.col("node_id").isin("nation:3", "customer:7")).select("node_id", "id", "kind")
 
 
 @query(f"with {E} select id as edge_id, source_id as id from edges where kind = 'depends_on' and target_id = 'part:5'")
@@ -175,14 +188,40 @@ def backlinks(spark, d):
     return navigate.backlinks(tabular.nodes(spark, d, "orders"), e, "part:11", None).select("edge_id", "id")
 
 
-@query(f"with {E}, {N} select e.id as edge_id, e.kind as edge_kind, 'static' as resolution, n.id, n.kind from edges e join nodes n on n.id = e.source_id where e.target_id = 'nation:4'")
+#: Lines as calls, imports and inheritance between orders and parts, some of which share a file.
+CODE = """code as (select distinct 'orders:' || l_orderkey || '|' || l_returnflag || '|part:' || l_partkey as id, case l_returnflag when 'R' then 'calls' when 'A' then 'imports' else 'inherits' end as kind,
+  'orders:' || l_orderkey as source_id, 'part:' || l_partkey as target_id, l_orderkey % 5 as f, l_partkey % 5 as g, l_partkey % 7 = 0 as external, l_orderkey % 2 = 1 as resolved from lineitem),
+classed as (select *, case when kind = 'imports' then case when resolved then 'static' else 'heuristic' end when f = g and not external then 'static' else 'heuristic' end as resolution from code)"""
+
+
+def _code(spark, d):
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").distinct()
+    o, p = F.concat(F.lit("orders:"), F.col("l_orderkey").cast("string")), F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))
+    meta = F.when((F.col("l_returnflag") == "A") & (F.col("l_orderkey") % 2 == 1), '{"resolved":true}').otherwise("{}")
+    edges = line.select(F.concat_ws("|", o, "l_returnflag", p).alias("id"), F.when(F.col("l_returnflag") == "R", "calls").when(F.col("l_returnflag") == "A", "imports").otherwise("inherits").alias("kind"), o.alias("source_id"), p.alias("target_id"), meta.alias("metadata"))
+    n = tabular.nodes(spark, d, "orders", "part")
+    key = F.substring_index("id", ":", -1).cast("long")
+    return n.withColumn("path", F.concat(F.lit("f"), (key % 5).cast("string"))).withColumn("metadata", F.when((F.col("kind") == "part") & (key % 7 == 0), '{"external":true}').otherwise("{}")), edges
+
+
+
+@query(f"with {CODE}, nothing as (select 1) select id as edge_id, kind as edge_kind, resolution, source_id as node from classed where target_id in ('part:5', 'part:14', 'part:23')")
 def impact(spark, d):
-    return navigate.impact(tabular.nodes(spark, d), tabular.edges(spark, d), "nation:4")[0].select("edge_id", "edge_kind", "resolution", "id", "kind")
+    nodes, edges = _code(spark, d)
+    out = None
+    for target in ("part:5", "part:14", "part:23"):
+        hits, lost = navigate.impact(nodes, edges, target)
+        rows = hits.select("edge_id", "edge_kind", "resolution", F.col("id").alias("node")).unionByName(lost.select(F.col("item_id").alias("edge_id"), "edge_kind", "resolution", F.substring_index("item_id", "|", 1).alias("node")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-@query(f"with {E} select kind, case when kind in ('depends_on', 'contains') then 'static' else 'unsupported' end as resolution, count(*) as n from edges group by 1, 2")
+@query(f"with {E}, {CODE} select id, kind, resolution from classed union all select id, kind, 'static' from edges where kind = 'contains' union all select event_id::varchar, event_type, 'unsupported' from events")
 def edge_resolution(spark, d):
-    return navigate.resolution_class(tabular.edges(spark, d), tabular.nodes(spark, d)).groupBy("kind", "resolution").agg(F.count(F.lit(1)).alias("n"))
+    nodes, edges = _code(spark, d)
+    more = tabular.edges(spark, d, "nation", "customer", "supplier", "orders")
+    odd = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"), F.lit("a").alias("source_id"), F.lit("b").alias("target_id"), F.lit("").alias("metadata"))
+    return navigate.resolution_class(edges.unionByName(more).unionByName(odd), nodes).select("id", "kind", "resolution")
 
 
 @query("select 'commit:' || event_id as id, floor(epoch(ts))::bigint as epoch from events where user_id = 7 order by 2 desc, 1 limit 15")
@@ -191,10 +230,21 @@ def commits_for_path(spark, d):
     return navigate.commits_for_path(n, e, "user/7", 15).select("id", fn.meta("metadata", "committer_time_epoch").cast("long").alias("epoch"))
 
 
-@query("select 'path:user/' || user_id as target_id, 'user/' || user_id as place, 90.0::double as score from events where event_id = 17")
+@query("""with l as (select l_orderkey, l_partkey, min(l_linenumber) as n from lineitem where l_orderkey in (select l_orderkey from lineitem group by 1 order by count(distinct l_partkey) desc, 1 limit 1) group by 1, 2)
+select case when n % 2 = 1 then 'touches' else 'changes_path' end as edge_kind, 'p/' || l_partkey as place, case when n % 2 = 1 then 100.0 else 90.0 end::double as score from l""")
 def files_for_commit(spark, d):
-    n, e, _ = tabular.commits(spark, d)
-    return navigate.files_for_commit(n, e, navigate.find_commit(n, "17") or "").select("target_id", "place", "score")
+    line = table(spark, d, "lineitem")
+    first = line.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"))
+    most = line.groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("n")).orderBy(F.col("n").desc(), "l_orderkey").first()[0]
+    order, place = F.concat(F.lit("commit:"), F.col("l_orderkey").cast("string")), F.concat(F.lit("p/"), F.col("l_partkey").cast("string"))
+    file = F.col("n") % 2 == 1
+    target = F.concat(F.when(file, "file:").otherwise("path:"), place)
+    # a touched file is a changed path too, and comes first
+    both = first.select(F.explode(F.filter(F.array(F.struct(F.lit("changes_path").alias("kind"), F.concat(F.lit("path:"), place).alias("target_id")), F.struct(F.when(file, "touches").alias("kind"), target.alias("target_id"))), lambda x: x["kind"].isNotNull())).alias("x"), order.alias("source_id"))
+    edges = both.select("x.*", "source_id").select(F.concat_ws("|", "source_id", "kind", "target_id").alias("id"), "kind", "source_id", "target_id")
+    targets = both.select("x.target_id").distinct().select(F.col("target_id").alias("id"), F.when(F.col("target_id").startswith("file:"), "file").otherwise("changed_path").alias("kind"), F.substring_index("target_id", ":", -1).alias("path"), F.lit("").alias("label"), F.lit("{}").alias("metadata"))
+    nodes = targets.unionByName(table(spark, d, "orders").select(F.concat(F.lit("commit:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("git_commit").alias("kind"), F.lit("").alias("path"), F.lit("").alias("label"), F.lit("{}").alias("metadata")))
+    return navigate.files_for_commit(nodes, edges, f"commit:{most}", 1000).select("edge_kind", "place", "score")
 
 
 @query("select 'commit:' || event_id as id, floor(epoch(ts))::bigint as epoch from events order by 2 desc, 1 limit 25")
@@ -217,15 +267,8 @@ def mentions(spark, d):
     return out.select(F.substring("doc_id", 2, 30).cast("long").alias("doc_id"), F.substring("candidate_id", 2, 30).cast("long").alias("item_id"))
 
 
-@query("select o_orderkey as declared_id, l_partkey as resolved_id from orders join (select distinct l_orderkey, l_partkey from lineitem) on o_orderkey = l_orderkey where o_orderkey < 2000")
-def dependency_resolution(spark, d):
-    a = table(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"), F.lit("Lines").alias("ecosystem"), F.col("o_orderkey").cast("string").alias("package"))
-    b = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.lit("lines").alias("ecosystem"), F.col("l_orderkey").cast("string").alias("package")).distinct()
-    return resolve.dependencies(a, b)[0]
-
-
 @query("select o_orderkey as declared_id, l_partkey as resolved_id from orders join (select distinct l_orderkey, l_partkey from lineitem) on o_orderkey = l_orderkey")
-def dependency_resolution_all(spark, d):
+def dependency_resolution(spark, d):
     a = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("Lines").alias("ecosystem"), F.col("o_orderkey").cast("string").alias("package"))
     b = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.lit("lines").alias("ecosystem"), F.col("l_orderkey").cast("string").alias("package")).distinct()
     return resolve.dependencies(a, b)[0]
@@ -238,25 +281,73 @@ def dependency_unresolved(spark, d):
     return resolve.dependencies(a, b)[1]
 
 
-@query("""with r as (select text as t, source as s, count(*) as n from documents group by 1, 2), a as (select t, sum(n) as n from r group by 1)
-select doc_id, case when a.n - r.n = 1 then 'exact' when a.n - r.n > 1 then 'ambiguous' when r.n > 1 then 'same_root' else 'missing' end as outcome
-from documents join r on r.t = text and r.s = source join a on a.t = text""")
+#: Documents of even ids define their text, all others use it; a use whose text isn't defined away from its source may find its first words there.
+USES = """u as (select *, sha256(text) as symbol, substr(text, 1, 12) as family from documents),
+per as (select symbol, source, count(*) as n from u where doc_id % 2 = 0 group by 1, 2), per_f as (select distinct family, source from u where doc_id % 2 = 0),
+o as (select u.doc_id, case when u.doc_id % 29 = 1 then 'invalid'
+  when coalesce((select sum(n) from per where per.symbol = u.symbol and per.source <> u.source), 0) = 1 then 'exact'
+  when coalesce((select sum(n) from per where per.symbol = u.symbol and per.source <> u.source), 0) > 1 then 'ambiguous'
+  when exists (select 1 from per where per.symbol = u.symbol and per.source = u.source) then 'same_root'
+  when exists (select 1 from per_f where per_f.family = u.family and per_f.source <> u.source) then 'version_mismatch' else 'missing' end as outcome from u where doc_id % 2 = 1)"""
+
+
+def _uses(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("doc_id").alias("node_id"), F.sha2("text", 256).alias("symbol"), F.substring("text", 1, 12).alias("family"))
+    uses = docs.where("node_id % 2 = 1").withColumn("valid", F.col("node_id") % 29 != 1)
+    return resolve.symbol_outcomes(uses, docs.where("node_id % 2 = 0"))
+
+
+@query(f"with {USES} select doc_id, outcome from o")
 def resolution_outcomes(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("doc_id").alias("node_id"), F.sha2("text", 256).alias("symbol"), F.sha2("text", 256).alias("family"))
-    out = resolve.symbol_outcomes(docs.withColumn("valid", F.lit(True)), docs)
-    # a document defines what it uses: alone in its own root it isn't a second definition there
-    own = docs.groupBy("symbol", "root").agg(F.count(F.lit(1)).alias("copies"))
-    out = out.join(own, ["symbol", "root"])
-    return out.select(F.col("node_id").alias("doc_id"), F.when((F.col("outcome") == "same_root") & (F.col("copies") == 1), "missing").otherwise(F.col("outcome")).alias("outcome"))
+    return _uses(spark, d).select(F.col("node_id").alias("doc_id"), "outcome")
 
 
-@query("""with h as (select doc_id, sha256(text) as now, sha256(substr(text, 1, 2000)) as was, doc_id % 3 = 0 as stale from documents)
-select doc_id, case when doc_id % 50 = 7 then 'missing' when now <> was then 'changed' when stale then 'stale' else 'fresh' end as state from h""")
-def evidence_state(spark, d):
+@query(f"with {USES}, names as (select unnest(['exact', 'ambiguous', 'same_root', 'version_mismatch', 'missing', 'invalid']) as outcome) select outcome, (select count(*) from o where o.outcome = names.outcome)::bigint as n from names")
+def resolution_counts(spark, d):
+    return resolve.outcome_counts(_uses(spark, d)).select("outcome", F.col("n").cast("long").alias("n"))
+
+
+@query(f"""with {USES} select 'cross_repo_' || case outcome when 'version_mismatch' then 'package_version_mismatch' when 'invalid' then 'identity_invalid' else 'definition_' || outcome end as reason, doc_id::varchar as item_id
+from (select *, row_number() over (partition by outcome order by doc_id) as n from o where outcome <> 'exact') where n <= 7""")
+def resolution_details(spark, d):
+    from ..workspace import resolution_details
+
+    return resolution_details(_uses(spark, d), 7).select("reason", F.col("item_id").cast("string").alias("item_id"))
+
+
+STATE = """h as (select doc_id, case when doc_id % 50 = 7 then 'missing' when doc_id % 4 = 0 then 'changed' when doc_id % 3 = 0 then 'stale' else 'fresh' end as state, sha256(text) as now from documents)"""
+
+
+def _evidence(spark, d):
+    from .. import evidence
+
     docs = table(spark, d, "documents").withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
-    refs = docs.select(F.col("path").alias("ref_uri"), F.col("doc_id").alias("node_id"), F.sha2(F.substring("text", 1, 2000), 256).alias("content_hash"), (F.col("doc_id") % 3 == 0).alias("stale"))
-    out = resolve.evidence_state(refs, docs.where("doc_id % 50 <> 7").select(F.col("doc_id").alias("id"), "path"), docs.select("path", F.sha2("text", 256).alias("content_hash")))
-    return out.select(F.col("node_id").alias("doc_id"), "state")
+    nodes = docs.select(F.col("path").alias("id"), "path", F.lit("").alias("section"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("col"), "doc_id")
+    before = docs.select("path", F.sha2(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("content_hash"))
+    refs = evidence.refs(nodes, "s1", before).withColumn("freshness_state", F.when(F.substring_index("node_id", "/", -1).cast("long") % 3 == 0, "stale").otherwise("fresh"))
+    return evidence.verify(refs, nodes.where("doc_id % 50 <> 7"), docs.select("path", F.sha2("text", 256).alias("content_hash")))
+
+
+@query(f"with {STATE} select 'evidence://s1/doc/' || doc_id as ref_uri, 'doc/' || doc_id as source_ref_id, state, case when state = 'missing' and doc_id % 4 = 0 then null else now end as content_hash from h")
+def evidence_state(spark, d):
+    out = _evidence(spark, d).select("ref_uri", "source_ref_id", F.col("freshness_state").alias("state"), "content_hash")
+    # of a document that is gone and had changed, the old hash stays: it is no hash of a text in the table
+    lost = (F.col("state") == "missing") & (F.substring_index("ref_uri", "/", -1).cast("long") % 4 == 0)
+    return out.withColumn("content_hash", F.when(~lost, F.col("content_hash")))
+
+
+@query(f"with {STATE}, names as (select unnest(['fresh', 'stale', 'changed', 'missing']) as state) select state, (select count(*) from h where h.state = names.state)::bigint as n from names")
+def evidence_counts(spark, d):
+    from .. import evidence
+
+    return evidence.state_counts(_evidence(spark, d))
+
+
+@query(f"with {STATE} select 'evidence_' || state as reason, 'evidence://s1/doc/' || doc_id as item_id from h where state <> 'fresh'")
+def evidence_omitted(spark, d):
+    from .. import evidence
+
+    return evidence.omitted_of(_evidence(spark, d))
 
 
 @query(f"with {E}, {N} select id as edge_id, target_id as missing_id from edges where target_id like 'part:%' and target_id not in (select id from nodes where kind = 'part' and id < 'part:5')")
@@ -276,26 +367,41 @@ def neighborhood_d2(spark, d):
     return traverse.neighborhood(tabular.nodes(spark, d), tabular.edges(spark, d), "customer:11", depth=2, max_results=40).select("id", "depth", "place")
 
 
-@query(f"""with recursive {E}, l as (select source_id as a, target_id as b from edges union all select target_id, source_id from edges),
-w as (select 'region:1' as node, 0 as hops union select l.b, w.hops + 1 from w join l on l.a = w.node where w.hops < 3)
-select min(hops)::int as hops from w where node = (select 'customer:' || min(c_custkey) from customer join nation on c_nationkey = n_nationkey where n_regionkey = 1)""")
-def path_hops(spark, d):
-    c = table(spark, d, "customer").join(table(spark, d, "nation").where("n_regionkey = 1"), F.col("c_nationkey") == F.col("n_nationkey")).agg(F.min("c_custkey")).first()[0]
-    way = traverse.path(tabular.edges(spark, d), "region:1", f"customer:{c}", max_hops=3)
-    return spark.createDataFrame([(None if way is None else len(way),)], "hops int")
+PATH_TARGETS = "t as (select unnest(list_distinct([(select min(o_orderkey) from orders), (select max(o_orderkey) from orders), (select min(o_orderkey) + 7 from orders)])) as k)"
+
+
+@query(f"""with {PATH_TARGETS} select 'orders:' || o_orderkey as target, hop::int as hop, edge_id from (select o_orderkey, unnest([1, 2, 3]) as hop,
+unnest(['region:' || n_regionkey || '|contains|nation:' || n_nationkey, 'nation:' || n_nationkey || '|contains|customer:' || c_custkey, 'customer:' || c_custkey || '|contains|orders:' || o_orderkey]) as edge_id
+from orders join t on o_orderkey = k join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey)""")
+def path_edges(spark, d):
+    """From the region of an order to it: the way is a tree's, so it is the only one."""
+    o = table(spark, d, "orders")
+    low, high = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    tree, out = tabular.edges(spark, d, "nation", "customer", "orders"), []
+    up = o.where(F.col("o_orderkey").isin(low, low + 7, high)).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    for r in up.select("o_orderkey", "n_regionkey").collect():
+        way = traverse.path(tree, f"region:{r[1]}", f"orders:{r[0]}", max_hops=4)
+        out += [(f"orders:{r[0]}", i, e) for i, e in enumerate(way or [], 1)]
+    return spark.createDataFrame(out, "target string, hop int, edge_id string")
 
 
-@query("""with recursive e as (select distinct 'o' || l_orderkey as a, 'p' || l_partkey as b from lineitem where l_orderkey < 500),
-l as (select a, b from e union all select b, a from e), w as (select a as node, a as root from l union select l.b, w.root from w join l on l.a = w.node)
-select root as component_id, count(*) as node_count from (select node, min(root) as root from w group by node) group by root""")
+#: Labels sink to the least node along the edges, each node keeping its best so far.
+SINK = """recursive {nodes}, cc(node, root) using key (node) as (select node, node from every
+  union (select u.node, v.root from recurring.cc u join l on l.a = u.node join cc v on v.node = l.b where v.root < u.root order by u.node, v.root desc))"""
+
+
+@query(f"""with {SINK.format(nodes="e as (select distinct 'o' || l_orderkey as a, 'p' || l_partkey as b from lineitem), l as (select a, b from e union all select b, a from e), every as (select distinct a as node from l)")}
+select root as component_id, count(*) as node_count from cc group by root""")
 def components(spark, d):
-    e = table(spark, d, "lineitem").where("l_orderkey < 500").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"))
     return traverse.components(e).groupBy(F.col("root").alias("component_id")).agg(F.count(F.lit(1)).alias("node_count"))
 
 
-@query()
+WHOLE = SINK.format(nodes=f"{N}, {E}, l as (select source_id as a, target_id as b from edges union all select target_id, source_id from edges), every as (select id as node from nodes union select a from l)")
+
+
+@query(f"with {WHOLE} select root as component_id, count(*) as node_count, (select count(*) from edges join cc c on c.node = edges.source_id where c.root = cc.root)::bigint as edge_count from cc group by root")
 def graph_components(spark, d):
-    """Of the whole graph; without SQL, whose recursion can't go over all edges."""
     return traverse.graph_components(tabular.nodes(spark, d), tabular.edges(spark, d))
 
 
@@ -328,22 +434,15 @@ def orphans(spark, d):
     return views.orphans(tabular.nodes(spark, d), tabular.edges(spark, d, "lineitem")).select("id", "kind")
 
 
-@query(f"with {N}, {E} select (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, 0::bigint as omitted, 0.0::double as omitted_rate")
+@query(f"""with {N}, {E}, {LINKS}, c as (select (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, (select count(*) from links where target not in (select url from pages where url is not null)) as omitted)
+select nodes, edges, omitted, round(omitted / (nodes + edges), 6)::double as omitted_rate from c""")
 def health(spark, d):
-    return views.omitted_rate(tabular.nodes(spark, d), tabular.edges(spark, d), spark.createDataFrame([], "reason string, item_id string"))
-
-
-@query(f"with {E} select e.id, s.o_orderkey as source_key, t.p_partkey as target_key from edges e join orders s on e.source_id = 'orders:' || s.o_orderkey join part t on e.target_id = 'part:' || t.p_partkey where kind = 'depends_on' and s.o_orderkey % 10 = 3")
-def report_dependencies(spark, d):
-    o = tabular.nodes(spark, d, "orders")
-    e = tabular.edges(spark, d, "lineitem")
-    out = views.report_dependencies(o.unionByName(tabular.nodes(spark, d, "part")), e)
-    key = lambda c: F.substring_index(c, ":", -1).cast("long")
-    return out.select("id", key("source_id").alias("source_key"), key("target_id").alias("target_key")).where("source_key % 10 = 3")
+    lost = tabular.page_links(spark, d).join(table(spark, d, "pages").select(F.col("url").alias("target")), "target", "left_anti")
+    return views.omitted_rate(tabular.nodes(spark, d), tabular.edges(spark, d), lost.select(F.lit("unresolved_reference").alias("reason"), F.col("target").alias("item_id")))
 
 
 @query(f"with {E} select e.id, s.o_orderkey as source_key, t.p_partkey as target_key from edges e join orders s on e.source_id = 'orders:' || s.o_orderkey join part t on e.target_id = 'part:' || t.p_partkey where kind = 'depends_on'")
-def report_dependencies_all(spark, d):
+def report_dependencies(spark, d):
     out = views.report_dependencies(tabular.nodes(spark, d, "orders", "part"), tabular.edges(spark, d, "lineitem"))
     key = lambda c: F.substring_index(c, ":", -1).cast("long")
     return out.select("id", key("source_id").alias("source_key"), key("target_id").alias("target_key"))
@@ -375,42 +474,43 @@ def visible_edges(spark, d):
     return views.visible_edges(tabular.nodes(spark, d, "nation", "customer"), tabular.edges(spark, d)).select("id")
 
 
-@query("""with p as (select 'part' as kind, p_brand as path, p_partkey as k from part) select kind, path, min(k) as first, count(*) as n from p group by all""")
+@query("select p_brand, p_partkey, n as rank from (select p_brand, p_partkey, (row_number() over (partition by p_brand order by p_size desc, p_partkey))::int as n from part) where n <= 3")
 def top_n_per_group(spark, d):
-    p = table(spark, d, "part")
-    first = diff.ranked_rows(p, "p_brand", "p_partkey", n=1).select("p_brand", F.col("p_partkey").alias("first"))
-    return p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).join(first, "p_brand").select(F.lit("part").alias("kind"), F.col("p_brand").alias("path"), "first", "n")
+    p = table(spark, d, "part").withColumn("less", -F.col("p_size"))
+    return diff.ranked_rows(p, "p_brand", "less", "p_partkey", n=3).select("p_brand", "p_partkey", "rank")
 
 
 # --- diffs and merges ---
 
-CUTOFF = "1997-01-01"
+def _orders_before_after(spark, d):
+    o = tabular.nodes(spark, d, "orders").withColumn("k", F.substring_index("id", ":", -1).cast("long"))
+    old = o.where("k % 7 <> 0").drop("k")
+    new = o.where("k % 5 <> 0").withColumn("label", F.when(F.col("k") % 11 == 0, "renamed").otherwise(F.col("label"))).drop("k")
+    e = tabular.edges(spark, d, "orders").withColumn("k", F.substring_index("id", ":", -1).cast("long"))
+    links = e.where("k % 3 <> 0").drop("k")
+    now = e.where("k % 4 <> 0").withColumn("metadata", F.when(F.col("k") % 13 == 0, '{"moved":true}').otherwise(F.col("metadata"))).drop("k")
+    return bundle(old, links), bundle(new, now)
 
 
-def _orders_before_after(spark, d):
-    o = tabular.nodes(spark, d, "orders")
-    keyed = table(spark, d, "orders").select(F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string")).alias("oid"), "o_orderkey")
-    o = o.join(keyed, F.col("id") == F.col("oid")).drop("oid")
-    old = o.where("o_orderkey % 7 <> 0").drop("o_orderkey")
-    new = o.where("o_orderkey % 5 <> 0").withColumn("label", F.when(F.col("o_orderkey") % 11 == 0, "renamed").otherwise(F.col("label"))).drop("o_orderkey")
-    empty = spark.createDataFrame([], "id string, kind string, source_id string, target_id string")
-    return bundle(old, empty), bundle(new, empty)
+BOTH = """o as (select o_orderkey as k, 'orders:' || o_orderkey as node, 'customer:' || o_custkey || '|contains|orders:' || o_orderkey as edge from orders),
+structure as (select 'node' as item_kind, case when k % 7 = 0 then 'added' else 'removed' end as status, node as item_id from o where (k % 7 = 0) <> (k % 5 = 0)
+  union all select 'edge', case when k % 3 = 0 then 'added' else 'removed' end, edge from o where (k % 3 = 0) <> (k % 4 = 0)),
+changes as (select 'node' as item_kind, 'changed' as status, node as item_id from o where k % 7 <> 0 and k % 5 <> 0 and k % 11 = 0
+  union all select 'edge', 'changed', edge from o where k % 3 <> 0 and k % 4 <> 0 and k % 13 = 0)"""
 
 
-@query("select 'node' as item_kind, case when o_orderkey % 7 = 0 then 'added' else 'removed' end as status, 'orders:' || o_orderkey as item_id from orders where (o_orderkey % 7 = 0) <> (o_orderkey % 5 = 0)")
+@query(f"with {BOTH} select * from structure")
 def diff_nodes(spark, d):
     return diff.structural(*_orders_before_after(spark, d))
 
 
-@query("""select 'node' as item_kind, case when o_orderkey % 7 = 0 then 'added' else 'removed' end as status, 'orders:' || o_orderkey as item_id from orders where (o_orderkey % 7 = 0) <> (o_orderkey % 5 = 0)
-union all select 'node', 'changed', 'orders:' || o_orderkey from orders where o_orderkey % 7 <> 0 and o_orderkey % 5 <> 0 and o_orderkey % 11 = 0""")
+@query(f"with {BOTH} select * from structure union all select * from changes")
 def ci_delta(spark, d):
     return diff.ci_delta(*_orders_before_after(spark, d))
 
 
-@query("""select op, position::int as position, 'orders:' || k as item_id from (
-select o_orderkey as k, case when o_orderkey % 5 = 0 then 'node_delete' else 'node_upsert' end as op, case when o_orderkey % 5 = 0 then 1 else 2 end as position from orders where (o_orderkey % 7 = 0) <> (o_orderkey % 5 = 0)
-union all select o_orderkey, 'node_upsert', 2 from orders where o_orderkey % 7 <> 0 and o_orderkey % 5 <> 0 and o_orderkey % 11 = 0)""")
+@query(f"""with {BOTH}, all_ as (select * from structure union all select * from changes)
+select item_kind || case when status = 'removed' then '_delete' else '_upsert' end as op, case item_kind || status when 'edgeremoved' then 0 when 'noderemoved' then 1 when 'nodeadded' then 2 when 'nodechanged' then 2 else 3 end::int as position, item_id from all_""")
 def snapshot_patch(spark, d):
     return diff.snapshot_patch(*_orders_before_after(spark, d)).select("op", "position", "item_id")
 
@@ -453,19 +553,30 @@ def identity_transitions(spark, d):
     return diff.unique_transitions(side("old"), side("new"), "hash")
 
 
-@query("select 'customer:' || c_custkey as id, c_name as label, '' as text, '{\"segment\":\"' || c_mktsegment || '\"}' as metadata from customer")
+@query("""with n as (select 'customer:' || c_custkey as id, case when c_custkey % 2 = 0 then '/home/' || c_custkey || '/a.py' else 'src/' || c_custkey || '.py' end as path, c_mktsegment as text, c_name as name from customer)
+select 'full' as profile, id, path, text, '{"author_name":"' || name || '","segment":"' || text || '"}' as metadata from n
+union all select 'no_content', id, path, '', '{"author_name":"' || name || '","segment":"' || text || '"}' from n
+union all select 'no_identities', id, path, text, '{"segment":"' || text || '"}' from n
+union all select 'portable', id, case when path like '/%' then 'a.py' else path end, '', '{"segment":"' || text || '"}' from n""")
 def redaction(spark, d):
     n = tabular.nodes(spark, d, "customer")
+    key = F.substring_index("id", ":", -1)
     n = n.withColumn("metadata", F.concat(F.lit('{"author_name":"'), "label", F.lit('","segment":"'), "text", F.lit('"}'))).withColumn("uri", F.lit(""))
-    empty = spark.createDataFrame([], "id string, kind string, source_id string, target_id string")
-    return resolve.redacted(bundle(n, empty), "portable").nodes.select("id", "label", "text", "metadata")
-
-
-@query(f"with {N} select '  \"' || id || '\" [label=\"' || label || '\\n' || kind || case when path <> '' then '\\n' || path else '' end || '\"];' as line from nodes where kind in ('region', 'nation')")
-def export_dot_nodes(spark, d):
+    n = n.withColumn("path", F.when(key.cast("long") % 2 == 0, F.concat(F.lit("/home/"), key, F.lit("/a.py"))).otherwise(F.concat(F.lit("src/"), key, F.lit(".py"))))
+    s = bundle(n, spark.createDataFrame([], "id string, kind string, source_id string, target_id string"))
+    out = None
+    for profile in resolve.PROFILES:
+        rows = resolve.redacted(s, profile).nodes.select(F.lit(profile).alias("profile"), "id", "path", "text", "metadata")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""with {N}, {E} select 1 as part, id as key, '  "' || id || '" [label="' || label || '\\n' || kind || case when path <> '' then '\\n' || path else '' end || '"];' as line from nodes
+union all select 2, id, '  "' || source_id || '" -> "' || target_id || '" [label="' || kind || '"];' from edges""")
+def export_dot(spark, d):
     from ..sources.exports import dot_lines
 
-    return dot_lines(tabular.nodes(spark, d, "region", "nation"), tabular.edges(spark, d, "nation")).where("part = 1").select("line")
+    return dot_lines(tabular.nodes(spark, d), tabular.edges(spark, d))
 
 
 @query("select 'loom://tables/part/' || p_partkey as uri, 'loom://tables/edge/x%7Ccontains%7C' || p_partkey as edge from part")

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field, replace
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .folders import join, read_text, replace_text, there
 from .schema import EDGES, NODES, OMITTED, SNAPSHOT_VERSION, GraphError
 
 PLACE = ("path", "line", "col", "end_line", "end_col", "section", "uri")
@@ -61,21 +61,19 @@ def save(snapshot: Snapshot, folder: str, fail_after: str = "") -> str:
         df.sortWithinPartitions(*keys).write.parquet(f"{folder}/{version}/{name}")
         if fail_after == name:
             raise RuntimeError(f"stopped after {name}")
-    Path(folder, version, "header.json").write_text(json.dumps(snapshot.header, sort_keys=True))
-    pointer = Path(folder, f"_current-{version}")
-    pointer.write_text(version)
-    pointer.replace(Path(folder, "CURRENT"))
+    replace_text(snapshot.spark, join(folder, version, "header.json"), json.dumps(snapshot.header, sort_keys=True))
+    replace_text(snapshot.spark, join(folder, "CURRENT"), version)
     return version
 
 
 def load(spark: SparkSession, folder: str) -> Snapshot:
-    pointer = Path(folder, "CURRENT")
-    if not pointer.exists():
+    pointer = join(folder, "CURRENT")
+    if not there(spark, pointer):
         raise GraphError("STORE_SNAPSHOT_NOT_FOUND", "the store has no snapshot", path=folder)
-    base = Path(folder, pointer.read_text())
-    header = json.loads((base / "header.json").read_text())
+    base = join(folder, read_text(spark, pointer))
+    header = json.loads(read_text(spark, join(base, "header.json")))
     check_version(header)
-    read = lambda name, schema: spark.read.schema(schema).parquet(str(base / name))
+    read = lambda name, schema: spark.read.schema(schema).parquet(join(base, name))
     return Snapshot(read("nodes", NODES), read("edges", EDGES), read("omitted", OMITTED), header)
 
 

@@ -9,21 +9,25 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import json
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import join, read_text, replace_text, there
 from ..operators.diff import first_wins
 from ..operators.resolve import local_imports
 from ..schema import EDGES, MANIFEST, NODES, OMITTED
 from ..snapshot import Snapshot, bundle
 from .parsers import parse_file
 
+if TYPE_CHECKING:
+    from ..registry import Registry
+
 IGNORED = (".git", ".hg", ".svn", "__pycache__", ".venv", "venv", "node_modules", "dist", "build")
 FACTS = "file string, row string, position long, " + NODES + ", source_id string, target_id string, reason string, item_id string, details string"
 
@@ -84,12 +88,12 @@ def scoped(entries: DataFrame, scope: Scope) -> DataFrame:
     return entries.withColumn("reason", reason)
 
 
-def _parse(root: str, namespace: str):
+def _parse(root: str, namespace: str, registry: Registry | None = None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in FACTS.split(", ")]
         for frame in frames:
             for path, is_dir in zip(frame["path"], frame["is_dir"]):
-                rows = parse_file(root, path, bool(is_dir), namespace)
+                rows = parse_file(root, path, bool(is_dir), namespace, registry)
                 out = pd.DataFrame([{**r, "file": path, "position": i} for i, r in enumerate(rows)], columns=columns).astype(object)
                 out = out.where(out.notna(), None)
                 yield out.astype({c: "Int32" for c in ("line", "col", "end_line", "end_col")} | {"position": "int64"})
@@ -97,17 +101,17 @@ def _parse(root: str, namespace: str):
     return run
 
 
-def facts(spark: SparkSession, root: str, namespace: str, scope: Scope) -> tuple[DataFrame, DataFrame]:
+def facts(spark: SparkSession, root: str, namespace: str, scope: Scope, registry: Registry | None = None) -> tuple[DataFrame, DataFrame]:
     """(facts of every file that counts, entries with reasons)."""
     scope = Scope(**{**scope.__dict__, "patterns": gitignore(root)})
     entries = scoped(walk(spark, root), scope).cache()
     kept = entries.where("reason is null").select("path", "is_dir")
-    return kept.repartition("path").mapInPandas(_parse(str(Path(root).resolve()), namespace), FACTS), entries
+    return kept.repartition("path").mapInPandas(_parse(str(Path(root).resolve()), namespace, registry), FACTS), entries
 
 
-def index_path(spark: SparkSession, root: str, namespace: str = "default", scope: Scope = Scope(), created_at: str = "") -> Snapshot:
+def index_path(spark: SparkSession, root: str, namespace: str = "default", scope: Scope = Scope(), created_at: str = "", registry: Registry | None = None) -> Snapshot:
     """Snapshot of a tree: every file's facts, the first one of an id winning in path order, and imports resolved."""
-    got, entries = facts(spark, root, namespace, scope)
+    got, entries = facts(spark, root, namespace, scope, registry)
     return assemble(got, entries, root, namespace, created_at)
 
 
@@ -155,6 +159,20 @@ def manifest(spark: SparkSession, root: str, scope: Scope = Scope()) -> DataFram
     return kept.repartition("path").mapInPandas(_manifest(str(Path(root).resolve())), MANIFEST)
 
 
+def manifest_of(contents: DataFrame) -> DataFrame:
+    """manifest() of files that are rows already: path, content (binary)."""
+    from .parsers import PARSER_VERSION, SUFFIXES
+
+    name = F.lit("")
+    for parser, ends in reversed(list(SUFFIXES.items())):
+        hit = F.lit(False)
+        for end in ends:
+            hit = hit | F.endswith("path", F.lit(end))
+        name = F.when(hit, parser).otherwise(name)
+    out = contents.select("path", F.sha2("content", 256).alias("content_hash"), name.alias("parser"), F.lit(PARSER_VERSION).alias("parser_version"), F.octet_length("content").cast("long").alias("size_bytes"))
+    return out.withColumn("file_kind", F.when(F.col("parser") == "", "file").otherwise(F.col("parser")))
+
+
 # --- incremental refresh: facts are kept per file and parsed again only where the content or the parser changed ---
 
 
@@ -168,9 +186,9 @@ def refresh(spark: SparkSession, root: str, state: str, namespace: str = "defaul
     from ..operators.diff import path_changes
 
     now = manifest(spark, root, scope).cache()
-    pointer = Path(state, "CURRENT")
-    old = Path(state, pointer.read_text()) if pointer.exists() else None
-    before = spark.read.schema(MANIFEST).parquet(str(old / "manifest")) if old else now.limit(0)
+    pointer = join(state, "CURRENT")
+    old = join(state, read_text(spark, pointer)) if there(spark, pointer) else None
+    before = spark.read.schema(MANIFEST).parquet(join(old, "manifest")) if old else now.limit(0)
     changes = path_changes(before, now)
     again = changes.where("status = 'added' or array_contains(reasons, 'content_hash_changed') or array_contains(reasons, 'parser_version_changed')").select("path")
     scope_ = Scope(**{**scope.__dict__, "patterns": gitignore(root)})
@@ -178,19 +196,17 @@ def refresh(spark: SparkSession, root: str, state: str, namespace: str = "defaul
     dirs = entries.where("reason is null and is_dir").select("path", "is_dir")
     todo = entries.where("reason is null and not is_dir").join(again, "path", "left_semi").select("path", "is_dir")
     fresh = todo.unionByName(dirs).repartition("path").mapInPandas(_parse(str(Path(root).resolve()), namespace), FACTS)
-    out = Path(state, uuid.uuid4().hex)
+    out = join(state, version := uuid.uuid4().hex)
     if old:
         unchanged = changes.where("status = 'unchanged'").select(F.col("path").alias("file"))
-        kept = spark.read.parquet(str(old / "facts")).join(unchanged, "file", "left_semi")
+        kept = spark.read.parquet(join(old, "facts")).join(unchanged, "file", "left_semi")
         fresh = fresh.unionByName(kept)  # directories are always new: they cost nothing
-    fresh.write.parquet(str(out / "facts"))
-    now.write.parquet(str(out / "manifest"))
-    got = spark.read.parquet(str(out / "facts"))
+    fresh.write.parquet(join(out, "facts"))
+    now.write.parquet(join(out, "manifest"))
+    got = spark.read.parquet(join(out, "facts"))
     snap = assemble(got, entries, root, namespace)
     counts = {r["status"]: r["n"] for r in changes.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     work = {"parsed": todo.count(), "reused": counts.get("unchanged", 0), "removed": counts.get("removed", 0)}
-    (out / "work.json").write_text(json.dumps(work, sort_keys=True))
-    tmp = Path(state, f"_current-{os.getpid()}")
-    tmp.write_text(out.name)
-    tmp.replace(pointer)
+    replace_text(spark, join(out, "work.json"), json.dumps(work, sort_keys=True))
+    replace_text(spark, pointer, version)
     return snap, work

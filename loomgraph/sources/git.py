@@ -39,6 +39,16 @@ def changes(log_rows: DataFrame) -> DataFrame:
     return df.withColumn("change_kind", F.when(F.col("previous_path") != F.col("path"), "renamed").otherwise("changed"))
 
 
+def below(changed: DataFrame, prefix: str) -> DataFrame:
+    """Changes of paths below a folder of the repository, by their paths from there; others go."""
+    if not prefix:
+        return changed
+    start = prefix.rstrip("/") + "/"
+    cut_ = lambda c: F.expr(f"substring({c}, {len(start) + 1})")
+    inside = changed.where(F.col("path").startswith(start))
+    return inside.withColumn("previous_path", F.when(F.col("previous_path").startswith(start), cut_("previous_path")).otherwise("")).withColumn("path", cut_("path"))
+
+
 def overlay(log_rows: DataFrame, files: DataFrame, identity: str = "name_email_hash") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): commits, changed paths, parents among them, and touches of files that are there now."""
     if identity not in ("name_email_hash", "full"):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..folders import join, read_text, replace_text, there
 from ..operators.diff import patched
 
 
@@ -20,21 +21,16 @@ def follow(stream: DataFrame, folder: str, checkpoint: str, key: str = "id", app
     """Upserts each micro-batch into the table at `folder`; the batch number is the table's revision, so a batch that runs again changes nothing."""
 
     def upsert(batch: DataFrame, revision: int) -> None:
-        from pathlib import Path
-
-        spark, base = batch.sparkSession, Path(folder)
-        pointer = base / "CURRENT"
-        last = int(pointer.read_text()) if pointer.exists() else -1
+        spark, pointer = batch.sparkSession, join(folder, "CURRENT")
+        last = int(read_text(spark, pointer)) if there(spark, pointer) else -1
         if revision <= last:
             return
         new = batch.dropDuplicates([key])
         if last >= 0:
-            old = spark.read.parquet(str(base / str(last)))
+            old = spark.read.parquet(join(folder, str(last)))
             new = patched(old, new, new.select(key).limit(0), key)
-        new.write.mode("overwrite").parquet(str(base / str(revision)))
-        temp = base / f"_{revision}"
-        temp.write_text(str(revision))
-        temp.replace(pointer)
+        new.write.mode("overwrite").parquet(join(folder, str(revision)))
+        replace_text(spark, pointer, str(revision))
         if apply:
             apply(new, revision)
 
