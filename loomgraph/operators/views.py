@@ -57,7 +57,7 @@ def report_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def top_directories(nodes: DataFrame, edges: DataFrame, top_n: int = 10) -> DataFrame:
     holders = nodes.where("kind in ('project', 'directory')").select(F.col("id").alias("source_id"), "path")
-    kids = edges.where("kind = 'contains'").join(holders, "source_id").groupBy("source_id", "path").agg(F.count(F.lit(1)).alias("children"))
+    kids = edges.where("kind = 'contains'").select("source_id").join(holders, "source_id").groupBy("source_id", "path").agg(F.count(F.lit(1)).alias("children"))
     return kids.orderBy(F.col("children").desc(), "path").limit(max(1, top_n))
 
 

@@ -90,18 +90,21 @@ def import_pack(spark: SparkSession, folder: str, store: ParquetStore) -> dict:
 def verify(spark: SparkSession, folder: str) -> DataFrame:
     """check, ok, detail: counts, every file's checksum, the store against the graph, and whether the evidence reads."""
     body = inspect(spark, folder)
+    found = {r["file"]: r["sha256"] for r in checksums(spark, folder).toLocalIterator()}
+    rows = [(f"file:{name}", found.get(name) == body["files"].get(name), "" if name in found else "gone") for name in sorted({*found, *body["files"]})]
+    schema = "check string, ok boolean, detail string"
+    if not all(ok for _, ok, _ in rows):
+        # a table with a foreign or damaged file isn't read
+        return spark.createDataFrame(rows + [(f"count:{k}", False, "not read") for k in body["counts"]], schema)
     s = load(spark, folder)
     now = {"nodes": s.nodes.count(), "edges": s.edges.count(), "omitted": s.omitted.count()}
-    rows = [(f"count:{k}", now[k] == body["counts"][k], f"{now[k]} of {body['counts'][k]}") for k in now]
-    found = {r["file"]: r["sha256"] for r in checksums(spark, folder).toLocalIterator()}
-    for name in sorted({*found, *body["files"]}):
-        rows.append((f"file:{name}", found.get(name) == body["files"].get(name), "" if name in found else "gone"))
+    rows += [(f"count:{k}", now[k] == body["counts"][k], f"{now[k]} of {body['counts'][k]}") for k in now]
     if body["store"]:
         kept = load_store(spark, folder).export_snapshot()
         rows.append(("store", all(same_rows(getattr(kept, k), getattr(s, k)) for k in now), ""))
     if body["evidence"]:
         rows.append(("evidence", load_evidence(spark, folder).where("ref_uri is null").isEmpty(), ""))
-    return spark.createDataFrame(rows, "check string, ok boolean, detail string")
+    return spark.createDataFrame(rows, schema)
 
 
 def review(spark: SparkSession, folder: str) -> dict:
