@@ -132,22 +132,33 @@ class Top:
 
 
 def forest(f: np.ndarray, home: np.ndarray, k: int, radius: int, within: int) -> list[tuple[int, int]]:
-    """Pairs of rows that join, of the rows of one shard (visitors aren't compared with each other), exactly what the links join whose block k differs by `within` bits or fewer."""
-    v = block(f, k)
+    """Pairs of rows that join, of the rows of one shard (visitors aren't compared with each other), all that the links join whose block k differs by `within` bits or fewer.
+
+    Where a block's value is so frequent that its tree can't cut a leaf further, the leaf is cut by the other blocks in
+    turn: a link's bits are spread over these, so one of them differs by no more than the radius over their number.
+    """
+    blocks: dict[int, np.ndarray] = {}
     root = np.arange(len(f))
     found: list[tuple[int, int]] = []
-    todo = [(np.flatnonzero(home), np.arange(len(f)), 0)]
+    todo = [(np.flatnonzero(home), np.arange(len(f)), 0, k, within, tuple(i for i in range(4 * f.shape[1]) if i != k))]
     while todo:
-        own, ask, depth = todo.pop()
+        own, ask, depth, k, within, rest = todo.pop()
         if not len(own) or not len(ask):
             continue
-        if len(own) > LEAF and depth < 40:
+        if k not in blocks:
+            blocks[k] = block(f, k)
+        v = blocks[k]
+        if len(own) > LEAF:
             # any row will do as a vantage point; a middle one differs from level to level
             p = v[own[(7919 * (depth + 1)) % len(own)]]
             d, e = np.bitwise_count(v[own] ^ p).astype(np.int64), np.bitwise_count(v[ask] ^ p).astype(np.int64)
             mu = min(range(17), key=lambda r: abs(2 * int((d <= r).sum()) - len(own)))
-            if (d <= mu).any() and (d > mu).any():
-                todo += [(own[d <= mu], ask[e <= mu + within], depth + 1), (own[d > mu], ask[e > mu - within], depth + 1)]
+            if depth < 40 and (d <= mu).any() and (d > mu).any():
+                todo += [(own[d <= mu], ask[e <= mu + within], depth + 1, k, within, rest), (own[d > mu], ask[e > mu - within], depth + 1, k, within, rest)]
+                continue
+            if rest:
+                near = ask[np.bitwise_count(v[ask] ^ p) <= within] if not d.any() else ask
+                todo += [(own, near, 0, other, radius // len(rest), tuple(i for i in rest if i != other)) for other in rest]
                 continue
         at = max(1, (1 << 20) // len(own))
         for s in range(0, len(ask), at):
@@ -381,12 +392,10 @@ def one_each(docs: DataFrame) -> DataFrame:
     rows = similar_rows(docs).groupBy("root", "row_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     rows = rows.withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
     best = rows.groupBy("root").agg(F.min("place").alias("best"))
-    # rows that go, and rows that stay but once
-    odd = cut(rows.join(best, "root").select("row_key", (F.col("place") == F.col("best")).alias("stays"), "copies").where("not stays or copies > 1").select("row_key", "stays"))
-    keyed = docs.withColumn("row_key", row_key(docs))
-    plain = keyed.join(odd.select("row_key"), "row_key", "left_anti")
-    once = keyed.join(odd.where("stays").select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
-    return named(plain.unionByName(once))
+    gone = cut(rows.join(best, "root").where(F.col("place") != F.col("best")).select("row_key"))
+    # equal rows become one before they are shuffled; the join finds the texts where that left them
+    once = docs.withColumn("row_key", row_key(docs)).dropDuplicates(["row_key"])
+    return named(once.join(gone, "row_key", "left_anti"))
 
 
 def similar_rows(docs: DataFrame, similarity: float = 0.8, words: int = 4) -> DataFrame:

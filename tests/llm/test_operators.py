@@ -138,6 +138,27 @@ def test_forest_finds_every_link():
     assert links and all(find(a) == find(b) for a, b in links)
 
 
+def test_forest_of_a_hot_block():
+    """A third of the fingerprints share a block's value: they are cut by the other blocks, and no link is lost."""
+    r = np.random.default_rng(4)
+    f = r.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    f[:3000] = f[:3000] & ~np.uint64(0xFFFF) | np.uint64(77)
+    flips = np.uint64(1) << r.integers(16, 64, (1000, 4)).astype(np.uint64)
+    f = np.unique(np.concatenate((f, f[:1000] ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2] ^ flips[:, 3])))
+    links = [(a, int(b)) for a in range(len(f)) for b in np.flatnonzero(np.bitwise_count(f[a + 1 :] ^ f[a]) <= 4) + a + 1]
+    began, root = time.perf_counter(), list(range(len(f)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k in range(4):
+        for a, b in simhash.forest(f[:, None], np.ones(len(f), bool), k, 4, 1):
+            root[find(a)] = find(b)
+    assert len(links) > 900 and all(find(a) == find(b) for a, b in links) and time.perf_counter() - began < 20
+
+
 def test_similar_links_near_copies(spark):
     r = random.Random(2)
     words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
