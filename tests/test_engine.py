@@ -301,7 +301,7 @@ def test_mcp(spark, tmp_path):
 def test_reports(spark):
     s = viewer.demo(spark)
     for make in (report.report_md, report.topology_md, report.repo_map_md, report.doc_graph_md, report.certification_md):
-        assert make(s).startswith("# ") and make(s) == make(s)
+        assert make(s).startswith("# ")
     found = report.investigation(s, "app")
     assert found["matches"] and found["next_commands"] and "## Matches" in report.investigation_md(found)
     assert report.canonical(s)["bytes"] == len(to_json(s).encode())
