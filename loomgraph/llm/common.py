@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut, shared_dir
 
-__all__ = ["aside", "cut", "gone_at_exit", "mapped", "packed", "partitions_for", "remove", "shared_dir", "steps", "table"]
+__all__ = ["aside", "cut", "gone_at_exit", "mapped", "packed", "partitions_for", "remove", "shared_dir", "spread", "steps", "table"]
 
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory whatever the Arrow batch holds.
 STEP_BYTES = 1 << 20
 #: Rows in an Arrow batch, of texts of any length; the session's own setting holds where it is smaller.
 BATCH_ROWS = 1000
+#: Bytes of input below which rows are dealt out to all cores first: such a table may be one row group, so one task.
+SMALL_BYTES = 20 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,13 @@ def aside(df: DataFrame, *core: str) -> tuple[DataFrame, Callable[[DataFrame], D
     return df.toDF(*plain), lambda out: out.select(*plain).toDF(*columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it is small; a large table's scan has tasks enough, and isn't shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, -(-size // (1 << 17))))) if size < SMALL_BYTES else df
+
+
 def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow(), in batches of few rows; a Python worker gives its free memory back to the system after each task."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"

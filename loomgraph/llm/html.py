@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mapped, steps
+from .common import mapped, spread, steps
 
 OUT = "page_id long, url string, text string, n_chars long"
 #: Elements whose content is never text of the page; their content isn't markup either.
@@ -280,4 +280,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 text = [extract(x, weights) for x in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return mapped(pages.select("page_id", "url", "html"), run, OUT)
+    return mapped(spread(pages.select("page_id", "url", "html")), run, OUT)

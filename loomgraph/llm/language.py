@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, steps
+from .common import mapped, spread, steps
 
 U64 = np.uint64
 #: Documents of a language that fit() learns from, n-grams it keeps of each, the least documents an n-gram is in.
@@ -149,7 +149,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, keep: int = KEEP)
                     gram, docs = np.unique(pair[:, 0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), i, np.int32)), pa.array(gram.view(np.int64)), pa.array(docs)], names=["lang", "gram", "docs"])
 
-    grams = mapped(sample.select("text", "lang"), count, "lang int, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    grams = mapped(spread(sample.select("text", "lang")), count, "lang int, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     sizes = F.create_map(*(F.lit(x) for i, name in enumerate(names) for x in (i, float(max(1.0, min(per_language, counts[name]))))))
     grams = grams.where(F.col("docs") >= LEAST).withColumn("part", F.col("docs") / sizes[F.col("lang")])
     most = grams.groupBy("gram").agg(F.max("part").alias("most"))
@@ -181,4 +181,4 @@ def predict(docs: DataFrame, model: Model, *others: Column | str, keep_text: boo
 
     given = docs.select("text", "doc_id", *others)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[skip:])
-    return mapped(given, run, f"{schema}, lang_pred string, score double, coverage double")
+    return mapped(spread(given), run, f"{schema}, lang_pred string, score double, coverage double")

@@ -25,7 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import mapped, steps
+from .common import mapped, spread, steps
 from .nptext import U64, mix, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -455,4 +455,4 @@ def encoded(docs: DataFrame, *columns: str, path: str = MODEL, n_best: int = N_B
                         rows[c].append(own[c])
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[c], KINDS[c][0]) for c in columns)], names=["doc_id", *columns])
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, " + ", ".join(f"{c} {KINDS[c][1]}" for c in columns))
+    return mapped(spread(docs.select("doc_id", "text")), run, "doc_id long, " + ", ".join(f"{c} {KINDS[c][1]}" for c in columns))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.traverse import components
-from .common import aside, cut, mapped, packed, partitions_for, steps
+from .common import aside, cut, mapped, packed, partitions_for, spread, steps
 from .nptext import U64, bit_counts, majority, mix, shingles
 
 #: Shingle of the contract's fingerprint, bits that may differ, blocks that those are spread over.
@@ -37,6 +37,8 @@ SHINGLE, RADIUS, BLOCKS = 4, 4, 4
 SAMPLE, SHARD, LEAF = 8192, 32768, 128
 #: Fingerprints of one band of sizes that similar() compares with as many others in one go.
 CHUNK = 16384
+#: Sets of a component of candidates that are confirmed together; a larger component is cut into parts, each held against each.
+CELL = 2048
 
 
 def xxh_fingerprints(texts: pa.Array) -> np.ndarray:
@@ -95,7 +97,7 @@ def fingerprinted(docs: DataFrame, make: Callable[[pa.Array], np.ndarray], words
                 f = make(b.column(1)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(words))], names=["doc_id", *(f"f{k}" for k in range(words))])
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(words)))
+    return mapped(spread(docs.select("doc_id", "text")), run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(words)))
 
 
 def block(f: np.ndarray, k: int) -> np.ndarray:
@@ -402,7 +404,8 @@ def similar_rows(docs: DataFrame, similarity: float = 0.8, words: int = 4) -> Da
     """doc_id, row_key, root of every row: rows of one root are joined by links between texts whose sets of distinct five-word shingles have that Jaccard similarity or more.
 
     Candidates are all pairs of fingerprints within five standard deviations of the bits expected at that similarity, of
-    sets whose sizes allow it; every component of candidates is then cut by the exact similarities of its sets.
+    sets whose sizes allow it; every component of candidates is then cut by the exact similarities of its sets, a large one
+    in cells of a bounded number of sets.
     """
     spark, names, bits = docs.sparkSession, [f"f{k}" for k in range(words)], 64 * words
     t = Fraction(str(similarity))
@@ -450,16 +453,25 @@ def similar_rows(docs: DataFrame, similarity: float = 0.8, words: int = 4) -> Da
             sets: list[np.ndarray] = []
             for batch in group.to_batches():
                 for b in steps(batch, "text"):
-                    h, begin = distinct_shingles(b.column(2))
+                    h, begin = distinct_shingles(b.column(3))
                     sets += [h[a:z] for a, z in zip(begin[:-1].tolist(), begin[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[similar_sets(sets, t)])], names=["node", "root"])
+            hot = group.column("hot").combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[similar_sets(sets, t)]), hot.chunk(0) if isinstance(hot, pa.ChunkedArray) else hot], names=["node", "root", "hot"])
 
     visits = mapped(nodes.select("band", "node", "size", *names), meet, "shard long, first boolean, node long, size long, " + ", ".join(f"{x} long" for x in names))
     shards = visits.repartition(4 * partitions_for(spark), "shard").sortWithinPartitions("shard")
     loose = components(mapped(shards, search, "a long, b long"))
     asked = cut(nodes.select("node", "text_key").join(loose, "node"))
     texts = docs.select(text_key().alias("text_key"), "text").join(asked.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.max("text").alias("text"))
-    members = asked.join(texts, "text_key").select("root", "node", F.coalesce("text", F.lit("")).alias("text"))
-    members = members.repartition(partitions_for(spark), "root").sortWithinPartitions("root", "node")
-    exact = mapped(members, confirm, "node long, root long")
+    # components of up to CELL sets are one cell; a larger one has one for each two of its parts, so no task holds it whole
+    large = asked.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("root", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    members = asked.join(texts, "text_key").join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    members = members.withColumn("own", own).withColumn("other", other)
+    cell = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
+    members = members.select(cell.alias("cell"), (F.col("parts") > 1).alias("hot"), "node", F.coalesce("text", F.lit("")).alias("text"))
+    members = members.repartition(partitions_for(spark), "cell").sortWithinPartitions("cell", "node")
+    found = cut(mapped(members, confirm, "node long, root long, hot boolean"))
+    joined = components(found.where("hot and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    exact = found.where("not hot").select("node", "root").unionByName(joined)
     return cut(prints.select("doc_id", "row_key", "node").join(exact, "node", "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root")))

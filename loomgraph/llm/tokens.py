@@ -22,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, packed, steps
+from .common import mapped, packed, spread, steps
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,7 +111,7 @@ def section_tokens(docs: DataFrame, path: str = VOCABULARY, rule: str = "start")
                     names=["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens"],
                 )
 
-    return mapped(docs.select("doc_id", "text"), run, OUT)
+    return mapped(spread(docs.select("doc_id", "text")), run, OUT)
 
 
 def field_tokens(table: DataFrame, fields: list[str], path: str = VOCABULARY, rule: str = "start") -> DataFrame:

@@ -184,7 +184,9 @@ def test_similar_counts_a_repeated_line_once(spark):
     assert got == {i: i - 4 if i >= 8 else i for i in range(12)}
 
 
-def test_similar_is_exact(spark):
+@pytest.mark.parametrize("cell", [simhash.CELL, 3])
+def test_similar_is_exact(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
     texts = hard_texts() + [t for t in docs_table(spark).toPandas()["text"]]
     r = random.Random(8)
     for n in (5, 8, 9, 13, 24, 49, 104):
