@@ -21,7 +21,7 @@ from .operators import diff, navigate, search
 from .schema import GraphError
 from .service import Service
 from .snapshot import Snapshot, from_json, load, save, to_json
-from .sources import exports, files, interchange, scip
+from .sources import exports, files, git, interchange, scip
 
 Command = Callable[[SparkSession, argparse.Namespace], Any]
 COMMANDS: dict[str, tuple[tuple[str, ...], Command]] = {}
@@ -48,7 +48,8 @@ def rows(df: DataFrame, limit: int = 1000) -> list[dict]:
 
 @command("index", "root", "store")
 def _(spark, a):
-    return save(files.index_path(spark, a.root, a.namespace), a.store)
+    s = files.index_path(spark, a.root, a.namespace)
+    return save(git.with_history(s, a.root) if a.history else s, a.store)
 
 
 @command("snapshot", "store")
@@ -121,8 +122,6 @@ def _(spark, a):
 
 @command("git-lineage", "root", "place")
 def _(spark, a):
-    from .sources import git
-
     text, why = git.log(a.root)
     if why:
         raise GraphError(why, "no history here", root=a.root)
@@ -411,6 +410,7 @@ def main(args: list[str] | None = None) -> int:
         p.add_argument("--max-results", type=int, default=10)
         p.add_argument("--namespace", default="default")
         p.add_argument("--backend", default="parquet")
+        p.add_argument("--history", action="store_true")
     a = top.parse_args(args)
     here = str(Path(__file__).resolve().parent.parent)
     os.environ["PYTHONPATH"] = os.pathsep.join([here, os.environ.get("PYTHONPATH", "")]).rstrip(os.pathsep)

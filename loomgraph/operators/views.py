@@ -79,6 +79,10 @@ def doc_targets(edges: DataFrame, referrers: int = 5) -> DataFrame:
     return links.groupBy("target_id").agg(F.sum("n").alias("incoming_count")).join(first, "target_id")
 
 
+#: Distinct beginnings of labels up to which they are looked for where the documents lie.
+HEADS = 2000
+
+
 def mentions(docs: DataFrame, candidates: DataFrame, links: DataFrame | None = None, least: int = 4, max_results: int | None = None) -> DataFrame:
     """(doc_id, candidate_id): a document's text holds a candidate's label of `least` characters or more; linked pairs left out.
 
@@ -94,8 +98,12 @@ def mentions(docs: DataFrame, candidates: DataFrame, links: DataFrame | None = N
     low = docs.select(F.col("id").alias("doc_id"), F.lower(haystack() if "kind" in docs.columns else F.col("text")).alias("hay"))
     by_word = low.select("doc_id", F.explode(tokens("hay")).alias("word")).join(short.where("word is not null"), "word").select("doc_id", "candidate_id", "label")
     rare = short.where("word is null").withColumn("head", F.substring("label", 1, least))
-    if not rare.isEmpty():
+    heads = [r[0] for r in rare.select("head").distinct().limit(HEADS + 1).collect()]
+    if heads:
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("hay") - least + 1)), lambda i: F.substring(F.col("hay"), i, F.lit(least))))
+        if len(heads) <= HEADS:
+            # so few beginnings go to the documents, and only what begins a label is shuffled
+            grams = F.array_intersect(grams, F.array(*(F.lit(h) for h in sorted(heads))))
         by_word = by_word.unionByName(low.select("doc_id", F.explode(grams).alias("head")).join(rare, "head").select("doc_id", "candidate_id", "label"))
     hits = by_word.join(low, "doc_id").where(F.contains("hay", "label") & (F.col("doc_id").cast("string") != F.col("candidate_id").cast("string"))).select("doc_id", "candidate_id")
     if links is not None:

@@ -69,10 +69,17 @@ def query_plan(spark, d):
 # --- stores ---
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
 def _store(spark, d):
-    s = store.ParquetStore(spark, _place(spark, "store"))
-    s.import_snapshot(bundle(tabular.nodes(spark, d), tabular.edges(spark, d), namespace="tables"))
-    return s
+    """The tables' store, built once a session."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _STORES:
+        folder = _place(spark, "store")
+        store.ParquetStore(spark, folder).import_snapshot(bundle(tabular.nodes(spark, d), tabular.edges(spark, d), namespace="tables"))
+        _STORES[at] = folder
+    return store.ParquetStore(spark, _STORES[at])
 
 
 @query(f"with {N}, {scoring(FIND)} select id, kind, score from hits where score > 0 order by score desc, kind, path, id limit 60")

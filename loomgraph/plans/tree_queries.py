@@ -215,12 +215,16 @@ references_doc~document/README.md~document/docs/guide.md
 references_doc~document/README.md~document/notes.md
 references_section~document/README.md~doc_section/README.md#setup
 references_section~document/docs/guide.md~doc_section/README.md#setup
+resolves_to~dependency/left~resolved_dependency/package-lock.json:left
 """
 OMITTED = """
 binary_file~blob.dat
 config_key_extraction_unsupported~.github/workflows/ci.yml
 config_key_extraction_unsupported~api/openapi.yaml
 config_parse_error~bad.json
+dependency_unresolved~dependency/actions/checkout@v4
+dependency_unresolved~dependency/requirements.txt:Requests
+dependency_unresolved~dependency/requirements.txt:numpy
 gitignored~secret
 gitignored~secret/key.txt
 ignored_name~node_modules

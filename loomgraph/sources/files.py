@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import join, read_text, replace_text, there
+from ..functions import meta
 from ..operators.diff import first_wins
-from ..operators.resolve import local_imports
+from ..operators.resolve import dependencies, local_imports
 from ..schema import EDGES, MANIFEST, NODES, OMITTED
 from ..snapshot import Snapshot, bundle
 from .parsers import parse_file
@@ -134,7 +135,19 @@ def assemble(got: DataFrame, entries: DataFrame, root: str, namespace: str, crea
     from ..snapshot import conform
 
     lost = lost.select(F.lit("unresolved_local_import").alias("reason"), F.col("id").alias("item_id"), F.to_json(F.struct("label")).alias("details"))
-    return snap.with_(edges=snap.edges.unionByName(conform(extra, EDGES)), omitted=snap.omitted.unionByName(lost))
+    pairs, open_ = declared_and_resolved(nodes)
+    pinned = pairs.select(
+        F.concat_ws("|", "declared_id", F.lit("resolves_to"), "resolved_id").alias("id"), F.lit("resolves_to").alias("kind"), F.col("declared_id").alias("source_id"), F.col("resolved_id").alias("target_id"),
+        F.lit('{"resolution_kind":"same_name"}').alias("metadata"),
+    )
+    open_ = open_.select(F.lit("dependency_unresolved").alias("reason"), F.col("declared_id").alias("item_id"), F.lit("{}").alias("details"))
+    return snap.with_(edges=snap.edges.unionByName(conform(extra, EDGES)).unionByName(conform(pinned, EDGES)), omitted=snap.omitted.unionByName(lost).unionByName(open_))
+
+
+def declared_and_resolved(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, unresolved) of the packages that files declare and those that lock files pin."""
+    side = lambda kind: nodes.where(F.col("kind") == kind).select("id", *(F.coalesce(meta("metadata", k), F.lit("")).alias(k) for k in ("ecosystem", "package")))
+    return dependencies(side("dependency"), side("resolved_dependency"))
 
 
 def _manifest(root: str):
@@ -176,6 +189,13 @@ def manifest_of(contents: DataFrame) -> DataFrame:
 # --- incremental refresh: facts are kept per file and parsed again only where the content or the parser changed ---
 
 
+def extraction_key(namespace: str, scope: Scope) -> str:
+    """A digest of all that a file's facts depend on besides the file."""
+    from .parsers import PARSER_VERSION
+
+    return hashlib.sha256(json.dumps([namespace, PARSER_VERSION, FACTS, scope.__dict__], sort_keys=True, default=list).encode()).hexdigest()
+
+
 def refresh(spark: SparkSession, root: str, state: str, namespace: str = "default", scope: Scope = Scope()) -> tuple[Snapshot, dict]:
     """Snapshot of the tree as it is, from stored facts and the changed files' own; and what was parsed and reused.
 
@@ -187,7 +207,11 @@ def refresh(spark: SparkSession, root: str, state: str, namespace: str = "defaul
 
     now = manifest(spark, root, scope).cache()
     pointer = join(state, "CURRENT")
+    key = extraction_key(namespace, scope)
     old = join(state, read_text(spark, pointer)) if there(spark, pointer) else None
+    # facts under another namespace, scope or parser version are of no use
+    if old and (not there(spark, join(old, "key")) or read_text(spark, join(old, "key")) != key):
+        old = None
     before = spark.read.schema(MANIFEST).parquet(join(old, "manifest")) if old else now.limit(0)
     changes = path_changes(before, now)
     again = changes.where("status = 'added' or array_contains(reasons, 'content_hash_changed') or array_contains(reasons, 'parser_version_changed')").select("path")
@@ -208,5 +232,6 @@ def refresh(spark: SparkSession, root: str, state: str, namespace: str = "defaul
     counts = {r["status"]: r["n"] for r in changes.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     work = {"parsed": todo.count(), "reused": counts.get("unchanged", 0), "removed": counts.get("removed", 0)}
     replace_text(spark, join(out, "work.json"), json.dumps(work, sort_keys=True))
+    replace_text(spark, join(out, "key"), key)
     replace_text(spark, pointer, version)
     return snap, work

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import subprocess
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rename_parts
+from ..operators.diff import first_wins
+from ..schema import EDGES, NODES, OMITTED
+from ..snapshot import Snapshot, conform
 
 FIELDS = ("commit_hash", "short_hash", "parents", "author_name", "author_email", "author_epoch", "committer_name", "committer_email", "committer_epoch", "offset", "subject")
 FORMAT = "%x1e%H%x1f%h%x1f%P%x1f%an%x1f%ae%x1f%at%x1f%cn%x1f%ce%x1f%ct%x1f%ai%x1f%s%x1f"
@@ -49,7 +53,7 @@ def below(changed: DataFrame, prefix: str) -> DataFrame:
     return inside.withColumn("previous_path", F.when(F.col("previous_path").startswith(start), cut_("previous_path")).otherwise("")).withColumn("path", cut_("path"))
 
 
-def overlay(log_rows: DataFrame, files: DataFrame, identity: str = "name_email_hash") -> tuple[DataFrame, DataFrame]:
+def overlay(log_rows: DataFrame, files: DataFrame, identity: str = "name_email_hash", prefix: str = "") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): commits, changed paths, parents among them, and touches of files that are there now."""
     if identity not in ("name_email_hash", "full"):
         raise ValueError("identity must be name_email_hash or full")
@@ -59,7 +63,7 @@ def overlay(log_rows: DataFrame, files: DataFrame, identity: str = "name_email_h
     cid = lambda c: F.concat(F.lit("commit:"), c)
     pid = lambda c: F.concat(F.lit("path:"), c)
     node = log_rows.select(cid("commit_hash").alias("id"), F.lit("git_commit").alias("kind"), F.col("subject").alias("label"), F.lit("").alias("path"), meta.alias("metadata"))
-    ch = changes(log_rows)
+    ch = below(changes(log_rows), prefix)
     paths = ch.groupBy("path").agg(F.max_by("previous_path", "epoch").alias("previous_path")).select(pid("path").alias("id"), F.lit("changed_path").alias("kind"), F.col("path").alias("label"), "path", F.to_json(F.struct("previous_path")).alias("metadata"))
     edge = lambda s, kind, t, m: F.struct(F.concat_ws("|", s, F.lit(kind), t).alias("id"), F.lit(kind).alias("kind"), s.alias("source_id"), t.alias("target_id"), m.alias("metadata"))
     detail = F.to_json(F.struct("additions", "change_kind", "deletions", "previous_path"))
@@ -68,3 +72,23 @@ def overlay(log_rows: DataFrame, files: DataFrame, identity: str = "name_email_h
     up = log_rows.select("commit_hash", F.explode(F.filter(F.split("parents", " "), lambda p: p != "")).alias("parent"))
     parents = up.join(log_rows.select(F.col("commit_hash").alias("parent")), "parent", "left_semi").select(edge(cid("commit_hash"), "git_parent", cid("parent"), F.lit("{}")).alias("e"))
     return node.unionByName(paths), changed.unionByName(touched).unionByName(parents).select("e.*")
+
+
+KINDS, LINKS = ("git_commit", "changed_path"), ("touches", "changes_path", "git_parent")
+
+
+def with_history(s: Snapshot, root: str, identity: str = "name_email_hash", prefix: str = "") -> Snapshot:
+    """The snapshot of a tree with its commits, what they changed below a folder of the repository, and why there is no more."""
+    text, why = log(root)
+    spark = s.spark
+    note = lambda reason: spark.createDataFrame([(reason, root, "{}")], OMITTED)
+    if why:
+        return s.with_(omitted=s.omitted.unionByName(note(why)))
+    nodes, edges = overlay(commits(spark, text), s.nodes, identity, prefix)
+    omitted = s.omitted.unionByName(note("git_shallow_repository")) if Path(root, ".git", "shallow").exists() else s.omitted
+    return s.with_(nodes=s.nodes.unionByName(conform(nodes, NODES)), edges=s.edges.unionByName(conform(first_wins(edges, "id", "metadata"), EDGES)), omitted=omitted)
+
+
+def overlay_of(s: Snapshot) -> Snapshot:
+    """The part of a snapshot that its history gave."""
+    return s.with_(nodes=s.nodes.where(F.col("kind").isin(*KINDS)), edges=s.edges.where(F.col("kind").isin(*LINKS)), omitted=s.omitted.where(F.col("reason").startswith("git_")))

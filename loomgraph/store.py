@@ -25,7 +25,7 @@ from .schema import EDGES, NODES, OMITTED, SNAPSHOT_VERSION, GraphError
 from .snapshot import Snapshot, bundle, check_version, from_json, to_json
 
 #: Layouts: 1 has no index (searches read all nodes, deltas are refused), 2 has one.
-LAYOUT, FOLDERS, GRAM = 2, 64, 3
+LAYOUT, FOLDERS, GRAM = 2, 32, 3
 CATALOG = (
     ("json", "available", "one canonical document, for graphs that a driver holds"),
     ("parquet", "available", "versions of sorted Parquet with an index of trigrams"),
@@ -161,8 +161,9 @@ class ParquetStore:
         nodes = self.spark.read.schema(NODES).parquet(join(base, "nodes"))
         edges = self.spark.read.schema(EDGES).parquet(join(base, "edges"))
         if layout >= 2:
-            # one write task a folder and salt, so that a frequent trigram's rows don't meet in one
-            salted = gram_index(nodes).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(4)))
+            # each folder is written by as many tasks as there are to spare, so that a frequent trigram's rows don't meet in one
+            salts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // FOLDERS)
+            salted = gram_index(nodes).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
             salted.repartition("folder", "salt").drop("salt").sortWithinPartitions("folder", "gram").write.partitionBy("folder").parquet(join(base, "grams"))
         counts = {"nodes": nodes.count(), "edges": edges.count(), "omitted": self.spark.read.parquet(join(base, "omitted")).count()}
         replace_text(self.spark, join(base, "store.json"), json.dumps({"layout": layout, "header": s.header, "counts": counts}, sort_keys=True))

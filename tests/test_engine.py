@@ -140,6 +140,43 @@ def test_profiles(spark, tmp_path):
     assert refresh.freshness(a, a)["differs"] is False and refresh.freshness(a, b)["differs"] and refresh.delta_review(a, b)["exit_code"] == 1
 
 
+def test_refresh_state_of_another_namespace_is_left(spark, tmp_path):
+    root = project(spark, tmp_path, "p", "x = 1\n")
+    state = f"file://{tmp_path}/state"
+    assert [files.refresh(spark, root.path, state, n)[1]["parsed"] for n in ("a", "a", "b")] == [2, 0, 2]
+    snap, _ = files.refresh(spark, root.path, state, "b")
+    assert snap.nodes.where("id like 'loom://a/%'").isEmpty()
+
+
+def test_history_in_the_index(spark, tmp_path):
+    from loomgraph.sources import git
+
+    root = project(spark, tmp_path, "p", "x = 1\n")
+    s = files.index_path(spark, root.path)
+    assert git.with_history(s, root.path).omitted.where("reason = 'git_not_repo'").count() == 1
+    run = lambda *a: subprocess.run(["git", "-C", root.path, "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    run("init", "-q")
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    whole = git.with_history(s, root.path)
+    part = git.overlay_of(whole)
+    assert part.nodes.where("kind = 'git_commit'").count() == 1 and part.nodes.where("kind = 'changed_path'").count() == 2 and part.edges.where("kind = 'touches'").count() == 2
+    assert whole.nodes.count() == s.nodes.count() + part.nodes.count()
+
+
+@pytest.mark.parametrize("most", [2000, 1])
+def test_mentions_of_labels_without_an_inner_word(spark, monkeypatch, most):
+    from loomgraph.operators import views
+
+    monkeypatch.setattr(views, "HEADS", most)
+    texts = ["the red barn and the big dogma", "infrared", "Big Dog", "a wheel of flour is here", ""]
+    labels = ["redb", "barn", "big dog", "rare", "heel of flour is", "of"]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    marks = spark.createDataFrame([(f"m{i}", x) for i, x in enumerate(labels)], "id string, label string")
+    want = {(f"d{i}", f"m{j}") for i, t in enumerate(texts) for j, x in enumerate(labels) if len(x) >= 4 and x in t.lower()}
+    assert {tuple(r) for r in views.mentions(docs, marks).collect()} == want and len(want) == 5
+
+
 def test_viewer(spark):
     s = viewer.ring(spark, 200)
     assert s.edges.count() == 290
@@ -315,7 +352,7 @@ def test_command_line(spark, tmp_path):
     from loomgraph import __main__ as cli
 
     assert len(cli.COMMANDS) > 70
-    ran = lambda *a: cli.COMMANDS[a[0]][1](spark, __import__("argparse").Namespace(max_results=5, namespace="n", backend="parquet", **dict(zip((o.rstrip("+") for o in cli.COMMANDS[a[0]][0]), a[1:]))))
+    ran = lambda *a: cli.COMMANDS[a[0]][1](spark, __import__("argparse").Namespace(max_results=5, namespace="n", backend="parquet", history=False, **dict(zip((o.rstrip("+") for o in cli.COMMANDS[a[0]][0]), a[1:]))))
     js, st = str(tmp_path / "s.json"), f"file://{tmp_path}/st"
     assert ran("store-import", js, st)["node_count"] == 7 and ran("store-query", st, "app")["hits"][0]["id"] and ran("store-explain", st, "app")["nodes"] == 7
     assert ran("store-health", st)["ok"] and ran("store-delta", js, st)["rows_written"] == 0 and ran("store-path", st, "p", "c") == ["p|contains|f1", "f1|defines|c"]
