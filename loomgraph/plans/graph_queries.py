@@ -274,14 +274,10 @@ def commits_for_symbol(spark, d):
     return navigate.commits_for_symbol(n.unionByName(symbol), e, "s1", 12).select("id")
 
 
-LINEAGE = """t as (select l_orderkey as epoch, 'c' || l_orderkey || '-' || l_linenumber as commit_id, l_partkey, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as n from lineitem)"""
-
-
-@query("""with recursive e as (select event_id, floor(epoch(ts))::bigint as epoch, event_id // 400 as era from events),
-newest as (select max(era) as era from e) select 'f' || era as path, epoch, event_id::varchar as commit_id from e""")
+@query("select 'f' || (event_id // 400) as path, event_id as epoch, event_id::varchar as commit_id from events")
 def lineage(spark, d):
     """A file that is renamed once in every 400 events: its whole history, back through all its names."""
-    ev = table(spark, d, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"))
+    ev = table(spark, d, "events").select("event_id", F.col("event_id").alias("epoch"))
     era = F.floor(F.col("event_id") / 400)
     name = lambda c: F.concat(F.lit("f"), c.cast("string"))
     first = (F.col("event_id") % 400 == 0) & (F.col("event_id") > 0)
@@ -510,7 +506,7 @@ def repo_map(spark, d):
     n = _mixed(spark, d)
     n = n.withColumn("path", F.when(F.col("kind") == "project", F.col("label")).otherwise(F.col("path")))
     lost = tabular.page_links(spark, d).select(F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd").alias("reason"), F.col("target").alias("item_id"))
-    return report.repo_map(n, tabular.edges(spark, d, "nation"), lost, 8)
+    return report.repo_map(n, tabular.edges(spark, d, "nation"), lost, 8).withColumn("position", F.col("position").cast("long"))
 
 
 @query("""select 'part:' || l_partkey as id, p_name as label, count(*) as incoming_count from lineitem join part on p_partkey = l_partkey group by all order by 3 desc, 1 limit 15""")
