@@ -274,15 +274,15 @@ def commits_for_symbol(spark, d):
     return navigate.commits_for_symbol(n.unionByName(symbol), e, "s1", 12).select("id")
 
 
-@query("select 'f' || (event_id // 400) as path, event_id as epoch, event_id::varchar as commit_id from events")
+@query("select 'f' || (event_id // 700) as path, event_id as epoch, event_id::varchar as commit_id from events")
 def lineage(spark, d):
-    """A file that is renamed once in every 400 events: its whole history, back through all its names."""
+    """A file that is renamed once in every 700 events: its whole history, back through all its names."""
     ev = table(spark, d, "events").select("event_id", F.col("event_id").alias("epoch"))
-    era = F.floor(F.col("event_id") / 400)
+    era = F.floor(F.col("event_id") / 700)
     name = lambda c: F.concat(F.lit("f"), c.cast("string"))
-    first = (F.col("event_id") % 400 == 0) & (F.col("event_id") > 0)
+    first = (F.col("event_id") % 700 == 0) & (F.col("event_id") > 0)
     changes = ev.select(name(era).alias("path"), F.when(first, name(era - 1)).otherwise("").alias("previous_path"), "epoch", _text("event_id").alias("commit_id"))
-    newest = ev.agg(F.max("event_id")).first()[0] // 400
+    newest = ev.agg(F.max("event_id")).first()[0] // 700
     return spark.createDataFrame([r[:3] for r in navigate.rename_lineage(changes, f"f{newest}")], "path string, epoch long, commit_id string")
 
 
