@@ -65,7 +65,7 @@ def test_graph_components_with_dangling_ends(spark):
 def test_queries_read_whole_tables(spark, con):
     got = {tuple(r) for r in entry.queries()["report_dependencies"](spark, DIR).select("source_key", "target_key").collect()}
     assert got == set(con.sql("select distinct l_orderkey, l_partkey from lineitem where l_orderkey in (select o_orderkey from orders) and l_partkey in (select p_partkey from part)").fetchall())
-    assert entry.queries()["dependency_resolution"](spark, DIR).count() == con.sql("select count(*) from (select distinct l_orderkey, l_partkey from lineitem)").fetchone()[0]
+    assert entry.queries()["dependency_resolution"](spark, DIR).count() == con.sql("select count(*) from (select distinct l_orderkey, l_partkey from lineitem)").fetchall()[0][0]
 
 
 #: Queries that once stood for an operator without calling it, and what each must call.
