@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import meta
 from ..schema import GIT_EDGES, REFERENCE_EDGES, STATIC_EDGES, GraphError
+from ..session import cut
 
 
 def _sources(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...], target: str) -> DataFrame:
@@ -119,22 +120,47 @@ def incoming_externals(nodes: DataFrame, edges: DataFrame, target: str, limit: i
     return ids.join(nodes, F.col("source_id") == F.col("id")).select(*nodes.columns)
 
 
-def rename_lineage(changes: DataFrame, start: str) -> list[tuple[str, int, str, str]]:
-    """(path, epoch, commit, previous path) newest first, following all renames back from a path.
+def lineage(changes: DataFrame, start: str) -> DataFrame:
+    """path, epoch, commit_id, previous_path of a path's whole history, back through all its names; newest first is the order of (epoch desc, commit_id).
 
-    changes: path, previous_path, epoch, commit_id. One lookup a rename, on the rows of one path at a time; every rename
-    lies before the one that led to it, so the chain ends.
+    changes: path, previous_path, epoch, commit_id. A rename hands on to the first rename of its former path that lies
+    before it, found for all renames at once by a pass in order over each path. Those that the start leads to are met by
+    doubled steps, so a chain of n renames takes log n joins of renames only. A row belongs to it if it lies on a name
+    of the chain between the rename that led to that name and the one that leads on.
     """
-    out, cursor, before = [], start, None
+    # sort keys of a place in history: newest first, the start before all
+    rows = changes.select("path", F.lit(1).alias("after"), (-F.col("epoch")).cast("long").alias("age"), "commit_id", "epoch", "previous_path")
+    at = ("after", "age", "commit_id")
+    renames = rows.where("previous_path <> '' and previous_path <> path").groupBy("path", *at).agg(F.min("previous_path").alias("was"))
+    # `from_` names the rename that asks for the next one on its former path; the start asks too
+    key = F.to_json(F.struct("path", *at), {"ignoreNullFields": "false"})
+    renames = cut(renames.withColumn("rename", key))
+    first = changes.sparkSession.createDataFrame([(start, 0, None, None, "")], "path string, after int, age long, commit_id string, from_ string")
+    asks = renames.select(F.col("was").alias("path"), *at, F.col("rename").alias("from_")).unionByName(first)
+    both = renames.select("path", *at, F.lit(None).cast("string").alias("from_"), "rename").unionByName(asks.withColumn("rename", F.lit(None).cast("string")))
+    # oldest first, so what stands before a row is older; at the same place the one that asks comes first and doesn't meet itself
+    older = Window.partitionBy("path").orderBy(F.col("after").desc(), F.col("age").desc(), F.col("commit_id").desc(), F.col("from_").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("to", F.last("rename", ignorenulls=True).over(older)).where("from_ is not null").select("from_", "to")
+    steps = jump = cut(met)
+    reached, n = cut(steps.where("from_ = ''").select("from_")), 1
     while True:
-        own = changes.where(F.col("path") == cursor)
-        if before is not None:
-            own = own.where(F.struct(-F.col("epoch"), F.col("commit_id")) > F.struct(F.lit(-before[0]).cast("long"), F.lit(before[1])))
-        rename = own.where("previous_path <> '' and previous_path <> path").orderBy(F.col("epoch").desc(), "commit_id").first()
-        if rename is not None:
-            own = own.where(F.struct(-F.col("epoch"), F.col("commit_id")) <= F.struct(F.lit(-rename["epoch"]).cast("long"), F.lit(rename["commit_id"])))
-        out += [(r["path"], r["epoch"], r["commit_id"], r["previous_path"]) for r in own.orderBy(F.col("epoch").desc(), "commit_id").toLocalIterator()]
-        if rename is None:
+        more = reached.join(jump.where("to is not null"), "from_").select(F.col("to").alias("from_"))
+        reached = cut(reached.unionByName(more))
+        if (now := reached.count()) == n:
             break
-        cursor, before = rename["previous_path"], (rename["epoch"], rename["commit_id"])
-    return out
+        n = now
+        jump = cut(jump.join(jump.select(F.col("from_").alias("to"), F.col("to").alias("beyond")), "to").where("beyond is not null").select("from_", F.col("beyond").alias("to")))
+    # a name's stretch opens after the rename that led to it and closes after the one that leads on
+    chain = reached.join(steps, "from_")
+    opened = asks.join(chain.select("from_"), "from_", "left_semi").select("path", *at, F.lit(1).alias("change"))
+    closed = renames.join(chain.select(F.col("to").alias("rename")), "rename", "left_semi").select("path", *at, F.lit(-1).alias("change"))
+    marks = opened.unionByName(closed).withColumns({"epoch": F.lit(None).cast("long"), "previous_path": F.lit(None).cast("string")})
+    so_far = Window.partitionBy("path").orderBy(*at, F.col("change") != 0).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = rows.withColumn("change", F.lit(0)).unionByName(marks).withColumn("open", F.sum("change").over(so_far))
+    return walked.where("change = 0 and open > 0").select("path", "epoch", "commit_id", "previous_path")
+
+
+def rename_lineage(changes: DataFrame, start: str) -> list[tuple[str, int, str, str]]:
+    """lineage() as a list, newest first: for histories that the driver holds."""
+    rows = lineage(changes, start).orderBy(F.col("epoch").desc(), "commit_id")
+    return [tuple(r) for r in rows.toLocalIterator()]
