@@ -47,3 +47,22 @@ def test_lineage_walks_names_that_come_back(spark):
             cursor, before = at[3], at[:2]
         got = navigate.rename_lineage(changes, start)
         assert sorted(got) == sorted(want) and [(-r[1], r[2]) for r in got] == sorted((-r[1], r[2]) for r in got)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_deltas_are_one_aggregation(spark):
+    from loomgraph.operators import diff
+    from loomgraph.snapshot import bundle
+
+    edges = spark.createDataFrame([], "id string, kind string, source_id string, target_id string")
+    rows = lambda *r: bundle(spark.createDataFrame(list(r), "id string, kind string, label string, line int"), edges)
+    old = rows(("same", "k", "x", 1), ("gone", "k", "x", 1), ("label", "k", "x", 1), ("null", "k", "x", None), ("twice", "k", "x", 1), ("twice", "k", "y", 1), ("moved", "k", "ab", 1))
+    new = rows(("same", "k", "x", 1), ("come", "k", "x", 1), ("label", "k", "y", 1), ("null", "k", "x", 0), ("twice", "k", "x", 1), ("twice", "k", "y", 1), ("moved", "ka", "b", 1))
+    got = diff.ci_delta(old, new)
+    assert {(r["status"], r["item_id"]) for r in got.collect()} == {("removed", "gone"), ("added", "come"), ("changed", "label"), ("changed", "null"), ("changed", "twice"), ("changed", "moved")}
+    assert got.count() == 6
+    for df in (got, diff.structural(old, new)):
+        assert "Join" not in plan(df) and plan(df).count("Aggregate") == 1
