@@ -49,6 +49,25 @@ def test_lineage_walks_names_that_come_back(spark):
         assert sorted(got) == sorted(want) and [(-r[1], r[2]) for r in got] == sorted((-r[1], r[2]) for r in got)
 
 
+def test_store_indexes_blocks(spark, tmp_path):
+    from loomgraph import store
+    from loomgraph.operators import search
+    from loomgraph.snapshot import bundle
+
+    # several blocks, of which one holds a word; texts with an accent, a letter beyond 16 bits, and none
+    nodes = spark.range(20_000).select(F.format_string("n%05d", "id").alias("id"), F.lit("k").alias("kind"), F.when(F.col("id") == 9000, "Ähre 𝔘nique hammer").when(F.col("id") % 50 == 0, "").otherwise("common words here").alias("label"))
+    edges = nodes.limit(0).select("id", "kind", F.col("id").alias("source_id"), F.col("id").alias("target_id"))
+    st = store.ParquetStore(spark, f"file://{tmp_path}/s")
+    st.import_snapshot(bundle(nodes, edges))
+    index = st.table("grams")
+    assert index.count() < 20_000 and index.count() == index.distinct().count()
+    for text in ("hammer", "𝔘nique", "ähre", "common here", "n09000", "absent"):
+        want = {r[0] for r in search.scored(nodes.withColumns({c: F.lit("") for c in ("path", "section", "text", "metadata")}), text).select("id").collect()}
+        got = {r[0] for r in st.candidates(search.Request(text)).select("id").collect()}
+        assert want <= got and {r["id"] for r in st.query(search.Request(text, max_results=20_000)).hits.collect()} == want
+    assert st.explain("hammer").candidates == 1
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
