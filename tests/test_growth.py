@@ -85,3 +85,12 @@ def test_deltas_are_one_aggregation(spark):
     assert got.count() == 6
     for df in (got, diff.structural(old, new)):
         assert "Join" not in plan(df) and plan(df).count("Aggregate") == 1
+
+
+def test_scoring_cuts_no_text_into_tokens(spark):
+    from loomgraph.operators import search
+
+    rows = [("a", "red_fox fox"), ("b", "foxes"), ("c", "the Fox."), ("d", "x-fox-y"), ("e", "fo x")]
+    hits = search.scored(spark.createDataFrame([(i, "k", t, "", "", "", "") for i, t in rows], "id string, kind string, label string, path string, section string, text string, metadata string"), "fox brown")
+    assert {r["id"]: (r["score"], r["matched_tokens"]) for r in hits.collect()} == {i: (10.0, ["fox"]) for i in "acd"}
+    assert "split(" not in plan(hits)
