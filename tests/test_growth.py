@@ -94,3 +94,28 @@ def test_scoring_cuts_no_text_into_tokens(spark):
     hits = search.scored(spark.createDataFrame([(i, "k", t, "", "", "", "") for i, t in rows], "id string, kind string, label string, path string, section string, text string, metadata string"), "fox brown")
     assert {r["id"]: (r["score"], r["matched_tokens"]) for r in hits.collect()} == {i: (10.0, ["fox"]) for i in "acd"}
     assert "split(" not in plan(hits)
+
+
+def test_components_contract_what_lies_together(spark):
+    from loomgraph.operators import traverse
+
+    # one long way, one star, loops and a pair, in an order that mixes them
+    pairs = [(f"p{i:04d}", f"p{i + 1:04d}") for i in range(900)] + [("hub", f"s{i:03d}") for i in range(300)] + [("x", "y"), ("y", "x"), ("z", "z"), (None, "x")]
+    random.Random(3).shuffle(pairs)
+    edges = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    want = {f"p{i:04d}": "p0000" for i in range(901)} | {f"s{i:03d}": "hub" for i in range(300)} | {"hub": "hub", "x": "x", "y": "x"}
+    assert {r["node"]: r["root"] for r in traverse.components(edges).collect()} == want
+    for most in (1 << 20, 100):
+        part = traverse.contracted(edges, most)
+        assert part.where("u <= v").isEmpty() and {r["node"]: r["root"] for r in traverse.components(part.select(F.col("u").alias("a"), F.col("v").alias("b"))).collect()} == want
+    assert {(r["u"], r["v"]) for r in traverse.contracted(edges).collect()} == {x for x in want.items() if x[0] != x[1]}
+
+
+def test_topology_goes_over_the_edges_once_for_all_figures(spark):
+    from loomgraph import report
+
+    nodes = spark.createDataFrame([(x,) for x in "abcdez"], "id string")
+    edges = spark.createDataFrame([("1", "a", "b"), ("2", "b", "a"), ("3", "c", "x"), ("4", "d", "x"), ("5", "e", "e"), ("6", "p", "q")], "id string, source_id string, target_id string")
+    got = report.topology_summary(nodes, edges)
+    assert got.first().asDict() == {"node_count": 6, "edge_count": 6, "component_count": 4, "isolated_count": 1, "largest_component": 3, "max_degree": 2}
+    assert plan(got).count("Join") == 1
