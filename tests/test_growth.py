@@ -119,3 +119,14 @@ def test_topology_goes_over_the_edges_once_for_all_figures(spark):
     got = report.topology_summary(nodes, edges)
     assert got.first().asDict() == {"node_count": 6, "edge_count": 6, "component_count": 4, "isolated_count": 1, "largest_component": 3, "max_degree": 2}
     assert plan(got).count("Join") == 1
+
+
+SMALLEST = "/root/testdata/sf0.001"
+
+
+def test_dated_commits_need_no_join(spark):
+    from loomgraph.plans import graph_queries
+
+    n = graph_queries._mixed(spark, SMALLEST)
+    assert "Join" not in plan(n)
+    assert n.where("kind = 'git_commit' and metadata like '%\"commit_hash\":\"orders:%'").count() == spark.read.parquet(f"{SMALLEST}/orders.parquet").count()
