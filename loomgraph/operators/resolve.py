@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import meta
 from ..schema import GraphError
+from ..session import cut
 
 OUTCOMES = ("exact", "ambiguous", "same_root", "version_mismatch", "missing", "invalid")
 
@@ -84,9 +85,10 @@ def merged(base_nodes: DataFrame, base_edges: DataFrame, nodes: DataFrame, edges
     """(nodes, edges, omitted): a precise graph's rows added to a base. Ids whose rows differ keep the base's; edges without both ends go; both are noted."""
     all_nodes, twice = precise_merge(base_nodes, nodes)
     all_edges, again = precise_merge(base_edges, edges)
-    lost = dangling(all_nodes, all_edges)
+    # ids only, and read twice: what leads to them is a pass over both graphs
+    lost = cut(dangling(all_nodes, all_edges).select("edge_id").distinct())
     note = lambda df, reason, c: df.select(F.lit(reason).alias("reason"), F.col(c).alias("item_id"), F.lit("{}").alias("details"))
-    omitted = note(twice.unionByName(again), "precise_merge_collision", "id").unionByName(note(lost.select("edge_id").distinct(), "precise_merge_referential_gap", "edge_id"))
+    omitted = note(twice.unionByName(again), "precise_merge_collision", "id").unionByName(note(lost, "precise_merge_referential_gap", "edge_id"))
     return all_nodes, all_edges.join(lost.select(F.col("edge_id").alias("id")), "id", "left_anti"), omitted
 
 

@@ -130,3 +130,14 @@ def test_dated_commits_need_no_join(spark):
     n = graph_queries._mixed(spark, SMALLEST)
     assert "Join" not in plan(n)
     assert n.where("kind = 'git_commit' and metadata like '%\"commit_hash\":\"orders:%'").count() == spark.read.parquet(f"{SMALLEST}/orders.parquet").count()
+
+
+def test_edges_without_ends_are_sought_once(spark):
+    from loomgraph.operators import resolve
+
+    nodes = lambda *ids: spark.createDataFrame([(i, "k") for i in ids], "id string, kind string")
+    edges = lambda *rows: spark.createDataFrame(list(rows), "id string, source_id string, target_id string")
+    n, e, lost = resolve.merged(nodes("a", "b"), edges(("1", "a", "b"), ("2", "a", "x"), ("3", "a", "c")), nodes("c"), edges(("3", "a", "a"), ("4", "y", "x")))
+    assert {r["id"] for r in e.collect()} == {"1", "3"} and n.count() == 3
+    assert {(r["reason"], r["item_id"]) for r in lost.collect()} == {("precise_merge_collision", "3"), ("precise_merge_referential_gap", "2"), ("precise_merge_referential_gap", "4")}
+    assert "Generate" not in plan(e) and "Generate" not in plan(lost)
