@@ -141,3 +141,10 @@ def test_edges_without_ends_are_sought_once(spark):
     assert {r["id"] for r in e.collect()} == {"1", "3"} and n.count() == 3
     assert {(r["reason"], r["item_id"]) for r in lost.collect()} == {("precise_merge_collision", "3"), ("precise_merge_referential_gap", "2"), ("precise_merge_referential_gap", "4")}
     assert "Generate" not in plan(e) and "Generate" not in plan(lost)
+
+
+def test_edges_of_a_page_score_it_once(spark):
+    from loomgraph.plans import tabular_queries
+
+    p = plan(tabular_queries.search_with_edges(spark, SMALLEST))
+    assert "split(" not in p and "rlike" not in p.lower()
